@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from proofmill.llm import mixing, sharding, url_filter, warc
+from proofmill.llm import mixing, phrase_index, sharding, token_file, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
     "op6_byte_shards": sharding.op6_byte_shards,
+    "op9_phrase_index": phrase_index.op9_phrase_index,
+    "op10_token_file": token_file.op10_token_file,
 }
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op9_phrase_index": phrase_index.OP9_SQL,
 }
