@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from proofmill.llm import mixing, phrase_index, sharding, token_file, url_filter, warc
+from proofmill.llm import language_id, mixing, phrase_index, quality, sharding, token_file, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_language_id": language_id.op5_language_id,
     "op6_byte_shards": sharding.op6_byte_shards,
+    "op7_quality": quality.op7_quality,
     "op9_phrase_index": phrase_index.op9_phrase_index,
     "op10_token_file": token_file.op10_token_file,
 }
