@@ -28,7 +28,7 @@ from proofmill.llm import scratch
 from proofmill.llm.words import word_count
 
 #: Rows of a source that a range of keys holds about; ranges are what is sorted in one task.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: As many per-source rows are sent to every task; more are joined by shuffle.
 MAX_BROADCAST_SOURCES = 50_000
 
@@ -76,7 +76,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
     plan = scratch.stored(plan.withColumn("ranges", F.ceil(F.col("rows") / F.lit(RANGE_ROWS))), "mix-targets")
     n = plan.count()
 
-    dealt = _joined(slim, plan.select("source", "ranges", "rest"), n).withColumn("range", F.expr("((key >> 40) * ranges) >> 20"))
+    dealt = _joined(slim, plan.select("source", "ranges", "rest"), n).withColumn("range", F.expr("((key >> 28) * ranges) >> 32"))
     by_range = Window.partitionBy("source").orderBy("range")  # a row for each range
     totals = dealt.groupBy("source", "range", "rest").agg(F.sum("size").alias("in_range"))
     totals = totals.withColumn("before", F.coalesce(F.sum("in_range").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -103,7 +103,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
 
 def times_of() -> Column:
     """How often a row joined with its source's plan is taken."""
-    more = F.expr("((key >> 40) * ranges) >> 20 < cut_range or key <= cut_key or key = last_key")
+    more = F.expr("((key >> 28) * ranges) >> 32 < cut_range or key <= cut_key or key = last_key")
     return (F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")).cast("long")
 
 
@@ -139,12 +139,12 @@ WITH sized AS (
 ), chosen AS (
   SELECT coalesce(first(level ORDER BY bound / weight, source NULLS LAST) FILTER (bound / weight >= level), 0.0) AS level FROM levels
 ), plan AS (
-  SELECT source, source_size, least(bound, weight * chosen.level) AS target, (n + 19999) // 20000 AS ranges FROM ranked, chosen
+  SELECT source, source_size, least(bound, weight * chosen.level) AS target, (n + 1999) // 2000 AS ranges FROM ranked, chosen
 ), epochs AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM plan
 ), dealt AS (
   SELECT s.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-    ((s.key >> 40) * e.ranges) >> 20 AS rng
+    ((s.key >> 28) * e.ranges) >> 32 AS rng
   FROM sized s JOIN epochs e ON s.source IS NOT DISTINCT FROM e.source
 ), sums AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto FROM dealt
