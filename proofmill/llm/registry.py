@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofmill.llm import language_id, mixing, phrase_index, quality, sharding, token_file, toxicity, url_filter, warc
+from proofmill.llm import language_id, mixing, near_dup, phrase_index, quality, sharding, token_file, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_byte_shards": sharding.op6_byte_shards,
     "op7_quality": quality.op7_quality,
+    "op8_near_dup": near_dup.op8_near_dup,
     "op9_phrase_index": phrase_index.op9_phrase_index,
     "op10_token_file": token_file.op10_token_file,
 }
