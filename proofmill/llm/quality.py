@@ -28,14 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm import scratch
-from proofmill.llm.words import BLANKS, words_of
+from proofmill.llm.words import words_of
 
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS = "[#*$%&|<>]"
+WORD = "[^\\x20\\x09-\\x0D]"
 
 #: (name, figure, good up to, bad from): votes good at or below the first bound, bad at or above the second.
 RULES: tuple[tuple[str, Callable[[], Column], float, float], ...] = (
     ("symbols", lambda: F.try_divide("n_symbols", "word_chars"), 0.01, 0.05),
+    ("symbols_a_word", lambda: F.try_divide("n_symbols", "n_words"), 0.10, 0.30),
     ("dup_lines", lambda: F.try_divide("n_dup_lines", "n_lines"), 0.10, 0.30),
     ("repeats", lambda: F.try_divide("n_repeat_words", "n_words"), 0.15, 0.35),
     ("capitals", lambda: F.try_divide("n_upper", "word_chars"), 0.15, 0.40),
@@ -44,10 +45,6 @@ RULES: tuple[tuple[str, Callable[[], Column], float, float], ...] = (
 )
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.char_length(F.translate(text, chars, ""))
-
-
 def _sum(items: Column, of: Callable[[Column], Column]) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda total, x: total + of(x))
 
@@ -56,39 +53,47 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The id with all figures of its text, in one pass and without a shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), words_of(F.col(text_col)).alias("_w"))
-    blankless = F.translate("_text", BLANKS.replace("\n", ""), "")
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD))
     # each step is a projection whose result the next uses more than once, so that it is computed once
     counted = base.select(
         "_id",
         "_w",
         F.size("_w").alias("n_words"),
-        F.char_length(F.translate(blankless, "\n", "")).alias("word_chars"),
-        (F.char_length("_text") - _without(F.col("_text"), SYMBOLS)).alias("n_symbols"),
-        (F.char_length("_text") - _without(F.col("_text"), UPPER)).alias("n_upper"),
-        (F.char_length("_text") - _without(F.col("_text"), "!")).alias("n_shouts"),
+        F.char_length(F.array_join("_w", "")).alias("word_chars"),
+        F.regexp_count("_text", F.lit(SYMBOLS)).alias("n_symbols"),
+        F.regexp_count("_text", F.lit("[A-Z]")).alias("n_upper"),
+        (F.char_length("_text") - F.char_length(F.replace("_text", F.lit("!"), F.lit("")))).alias("n_shouts"),
         lines.alias("_lines"),
         F.length(F.bin(F.size("_w"))).alias("_bits"),
     )
-    counted = counted.withColumns({"n_lines": F.size("_lines"), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines"))})
+    windows = F.transform("_w", lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)))
+    hashed = counted.withColumns({
+        "n_lines": F.size("_lines"),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "_hashes": F.slice(windows, 1, F.greatest(F.col("n_words") - 2, F.lit(0))),
+    })
 
-    def key(w: Column, i: Column) -> Column:
-        return F.call_function("shiftleft", F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)), F.col("_bits")).bitwiseOR(i.cast("long"))
-
-    windows = F.transform(F.col("_w"), key)
-    keyed = counted.withColumn("_keys", F.sort_array(F.slice(windows, 1, F.greatest(F.col("n_words") - 2, F.lit(0)))))
+    def head(k: Column) -> Column:
+        return F.call_function("shiftright", k, F.col("_bits"))
 
     def place(k: Column) -> Column:
         return k.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1).cast("int")
 
     def same(k: Column, other: Column) -> Column:
-        heads = F.call_function("shiftright", k, F.col("_bits")) == F.call_function("shiftright", other, F.col("_bits"))
+        equal = head(k) == head(other)
         for d in (0, 1, 2):
-            heads = heads & (F.get("_w", place(k) + d) == F.get("_w", place(other) + d))
-        return F.coalesce(heads, F.lit(False))
-
-    twice = F.filter(F.col("_keys"), lambda k, j: same(k, F.get("_keys", j - 1)) | same(k, F.get("_keys", j + 1)))
-    found = keyed.withColumn("_at", F.sort_array(F.transform(twice, place)))
+            equal = equal & (F.get("_w", place(k) + d) == F.get("_w", place(other) + d))
+        return F.coalesce(equal, F.lit(False))
+
+    # most texts have no window twice and end here
+    keys = F.sort_array(F.transform("_hashes", lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long"))))
+    none = F.array().cast("array<bigint>")
+    keyed = hashed.withColumn("_keys", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), keys).otherwise(none)).drop("_hashes")
+    headed = keyed.withColumn("_heads", F.transform("_keys", head))
+    met = headed.withColumn("_met", F.zip_with("_heads", F.slice("_heads", 2, F.greatest(F.size("_heads"), F.lit(1))), lambda a, b: a == b))
+    close = met.withColumn("_close", F.filter("_keys", lambda k, j: F.get("_met", j) | F.get("_met", j - 1))).drop("_heads", "_met", "_keys")
+    twice = F.filter("_close", lambda k, j: same(k, F.get("_close", j - 1)) | same(k, F.get("_close", j + 1)))
+    found = close.withColumn("_at", F.sort_array(F.transform(twice, place)))
     steps = F.zip_with("_at", F.slice("_at", 2, F.greatest(F.size("_at") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
     covered = F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
     return found.select(F.col("_id").alias(id_col), *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_upper", "n_shouts", "n_lines", "n_dup_lines")], covered.alias("n_repeat_words"))
@@ -98,7 +103,7 @@ def vote(figure: Column, good: float, bad: float) -> Column:
     return F.when(figure <= good, 1.0).when(figure >= bad, -1.0).otherwise(0.0)
 
 
-def posteriors(patterns: DataFrame, n_rules: int, steps: int = 40, share: float = 0.85, on_good: float = 0.95, on_bad: float = 0.5, weight: float = 10.0) -> DataFrame:
+def posteriors(patterns: DataFrame, n_rules: int, steps: int = 40, share: float = 0.7, on_good: float = 0.98, on_bad: float = 0.3, weight: float = 10.0) -> DataFrame:
     """(pattern, n_rows, posterior): one row for each vote pattern (pattern, votes, n), after EM from the given start.
 
     ``weight`` rows that agree with the start are added to each estimate.
