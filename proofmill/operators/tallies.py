@@ -76,7 +76,7 @@ def pairwise_jaccard(items: DataFrame, run: str = "run", item: str = "item") ->
     runs = items.agg(F.count_distinct(run).alias("r"))
     held = items.groupBy(item).agg(F.count_distinct(run).alias("k"))
     held = held.groupBy("k").agg(F.count("*").alias("n"))
-    both = held.join(F.broadcast(runs))  # one row
+    both = held.withColumn("one", F.lit(1)).join(F.broadcast(runs.withColumn("one", F.lit(1))), "one")  # one row
     return both.agg(
         F.sum(F.expr("n * (k * (k - 1) div 2)")).alias("num"),
         F.sum(F.expr("n * (r * (r - 1) div 2 - (r - k) * (r - k - 1) div 2)")).alias("den"),

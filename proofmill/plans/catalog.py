@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from proofmill.plans import scoring
+
+QUERIES: dict = {**scoring.QUERIES}
+ORACLES: dict = {**scoring.ORACLES}
