@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from proofmill.functions import constants as C
 
@@ -44,7 +45,7 @@ def span_normalize(text: Column) -> Column:
     return fold(collapse(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, not its name: that would need a running session
 def span_normalize_unicode(text: pd.Series) -> pd.Series:
     """The same after compatibility composition (NFKC), which no built-in function does."""
 
@@ -110,10 +111,10 @@ def match_case(source: Column, word: Column) -> Column:
 def format_value(value: Column, kind: Column) -> Column:
     return (
         F.when(value.isNull(), "n/a")
-        .when(kind == "rate", F.concat(F.format_string("%.1f", value * 100), F.lit("%")))
-        .when(kind == "count", F.format_string("%,.0f", value))
-        .when(kind == "ratio", F.format_string("%.2f", value))
-        .otherwise(F.format_string("%.4f", value))
+        .when(kind == "rate", F.concat(F.format_string("%.1f", F.bround(value * 100, 1)), F.lit("%")))
+        .when(kind == "count", F.format_string("%,.0f", F.bround(value, 0)))
+        .when(kind == "ratio", F.format_string("%.2f", F.bround(value, 2)))
+        .otherwise(F.format_string("%.4f", F.bround(value, 4)))
     )
 
 

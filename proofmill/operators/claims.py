@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.functions import constants as C
 from proofmill.functions.text import collapse, dedupe_key
 
 
+def _claim(field: str, kind: str, place: int):
+    def of(value: Column, item: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), F.lit(place).alias("place"), item.alias("item"))
+
+    return of
+
+
 def unpivot(profiles: DataFrame, id_col: str = "extraction_id") -> DataFrame:
     """(extraction_id, field, kind, value, claim_ord, claim_id): one row for each value of a scored field.
 
@@ -26,7 +33,7 @@ def unpivot(profiles: DataFrame, id_col: str = "extraction_id") -> DataFrame:
         item = kind[6:-1] if kind.startswith("array") else kind
         name = {"string": "str", "boolean": "bool"}.get(item, "int")
         values = F.col(field) if kind.startswith("array") else F.array(field)
-        rows.append(F.transform(F.coalesce(values, F.array().cast(f"array<{item}>")), lambda v, i, f=field, n=name, p=place: F.struct(F.lit(f).alias("field"), F.lit(n).alias("kind"), v.cast("string").alias("value"), F.lit(p).alias("place"), i.alias("item"))))
+        rows.append(F.transform(F.coalesce(values, F.array().cast(f"array<{item}>")), _claim(field, name, place)))
     flat = profiles.select(id_col, F.explode(F.concat(*rows)).alias("c")).select(id_col, "c.*")
     flat = flat.where("value is not null and (kind != 'str' or trim(value) != '')").withColumn("same", dedupe_key(F.col("kind"), F.col("value")))
     first = Window.partitionBy(id_col, "field", "kind", "same").orderBy("item")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofmill.plans import scoring
+from proofmill.plans import scoring, texts
 
-QUERIES: dict = {**scoring.QUERIES}
-ORACLES: dict = {**scoring.ORACLES}
+QUERIES: dict = {**scoring.QUERIES, **texts.QUERIES}
+ORACLES: dict = {**scoring.ORACLES, **texts.ORACLES}
