@@ -36,7 +36,9 @@ from proofmill.llm import files, scratch
 MAGIC = b"PMTOKEN1"
 MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 #: Pieces of text whose ids a task keeps; others are encoded each time.
-MEMO_PIECES = 800_000
+MEMO_PIECES = 1_200_000
+#: Texts whose unseen pieces are encoded together.
+TEXTS_AT_ONCE = 400
 
 
 class Encoder:
@@ -72,12 +74,10 @@ class Encoder:
         spaced, lines = [], []
         for p in pieces:
             word = p[1:] if p[:1] == " " else p
-            if p == "\n":
-                out[p] = self.whole(p)
-            elif not word or word[0].isspace() or word[-1].isspace():
-                out[p] = None
-            else:
+            if word and word == word.strip():
                 (spaced if p[0] == " " else lines).append(p)
+            else:
+                out[p] = self.whole(p) if p == "\n" else None
         if spaced:
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, self.width)
             out |= self._cut(spaced, ids, np.flatnonzero(self.led[ids]))
@@ -97,31 +97,35 @@ class Encoder:
         ends = [*at.tolist(), len(ids)]
         return {p: data[a * w : e * w] for p, a, e in zip(pieces, ends, ends[1:], strict=False)}
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.cuts or "\0" in text or any(t in text for t in self.special):
-            return self.whole(text)
-        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        if pieces[0] == "":
-            return self.whole(text)
-        if pieces[-1] == "":
-            pieces.pop()  # after a line end
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Serialized ids of each text; unseen pieces of all of them are encoded at once."""
+        cut: list[list[str] | None] = []
+        for text in texts:
+            pieces = None
+            if self.cuts and text and "\0" not in text and not any(t in text for t in self.special):
+                pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+                if pieces[-1] == "":
+                    pieces.pop()  # after a line end
+            cut.append(pieces)
         memo = self.memo
-        try:
-            found = [memo[p] for p in pieces]
-        except KeyError:
-            fresh = self._fresh([p for p in dict.fromkeys(pieces) if p not in memo])
-            if len(memo) < MEMO_PIECES:
-                memo |= fresh
-            found = [memo[p] if p in memo else fresh[p] for p in pieces]
-        return self.whole(text) if None in found else b"".join(found)
+        fresh = self._fresh(list(set().union(*[p for p in cut if p]).difference(memo)))
+        memo |= fresh
+        out = []
+        for text, pieces in zip(texts, cut, strict=True):
+            try:
+                out.append(b"".join([memo[p] for p in pieces]) if pieces else self.whole(text))
+            except TypeError:  # one of them is None
+                out.append(self.whole(text))
+        if len(memo) > MEMO_PIECES:
+            for p in fresh:
+                del memo[p]
+        return out
 
 
 class Writer:
     """One file, held until it is full."""
 
-    def __init__(self, dictionary: bytes, width: str, end_id: int, level: int = 3):
+    def __init__(self, dictionary: bytes, width: str, end_id: int, level: int = 1):
         self.packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=level)
         self.hash, self.width, self.end = hashlib.sha256(dictionary).hexdigest(), width, np.array([end_id], width).tobytes()
         self.end_id = end_id
@@ -208,8 +212,7 @@ def read_document(path: str, dictionary: bytes, doc_id: int) -> np.ndarray | Non
 def _sample(rows: DataFrame, tokenizer: str, n: int, longest: int) -> list[bytes]:
     """Serialized ids of at most ``n`` texts of at most ``longest`` bytes, the same in each run."""
     some = rows.where(F.octet_length("text").between(1, longest)).select(F.xxhash64("id").alias("k"), "text")
-    encoder = Encoder(tokenizer)
-    return [encoder.encode(r.text) for r in some.orderBy("k", F.xxhash64("text")).limit(n).select("text").collect()]
+    return Encoder(tokenizer).encode([r.text for r in some.orderBy("k", F.xxhash64("text")).limit(n).select("text").collect()])
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 400, sample_bytes: int = 32 << 10, dictionary_bytes: int = 64 << 10, roll_bytes: int = 32 << 20) -> tuple[DataFrame, bytes]:
@@ -233,11 +236,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             writer.clear()
             return out
 
-        for doc_id, text in files.column(batches, "id", "text"):
-            writer.add(doc_id, encoder.encode(text or ""))
-            if writer.size >= roll_bytes:
-                yield close()
-                seq += 1
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(i, TEXTS_AT_ONCE)
+                encoded = encoder.encode([t or "" for t in some.column("text").to_pylist()])
+                for doc_id, ids in zip(some.column("id").to_pylist(), encoded, strict=True):
+                    writer.add(doc_id, ids)
+                if writer.size >= roll_bytes:
+                    yield close()
+                    seq += 1
         if writer.ids:
             yield close()
 
