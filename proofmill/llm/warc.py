@@ -186,9 +186,9 @@ def train(samples: list[bytes], size: int = 64 << 10) -> bytes:
 
 
 def _sample(pages: DataFrame, id_col: str, payload_col: str, rows: int, longest: int) -> list[bytes]:
-    """At most ``rows`` payloads of at most ``longest`` bytes, the same in each run."""
-    some = pages.where(F.octet_length(payload_col).between(1, longest)).select(F.xxhash64(id_col).alias("_k"), payload_col)
-    return [r[0].encode() for r in some.orderBy("_k", F.xxhash64(payload_col)).limit(rows).select(payload_col).collect()]
+    """About ``rows`` payloads less those of over ``longest`` bytes, the same in each run."""
+    some = scratch.sampled(pages.select(id_col, payload_col), rows, id_col, payload_col)
+    return sorted(r[0].encode() for r in some.where(F.octet_length(payload_col).between(1, longest)).select(payload_col).collect())
 
 
 def payload_digest(payload) -> object:
@@ -201,7 +201,7 @@ def payload_digest(payload) -> object:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_dedup_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", sample_rows: int = 200, sample_bytes: int = 64 << 10, roll_bytes: int = 32 << 20) -> DataFrame:
     """Write one record a row and return the archives' table (path, n_records, n_bytes).
 
-    The dictionary is trained on at most ``sample_rows`` payloads. Groups of
+    The dictionary is trained on about ``sample_rows`` payloads. Groups of
     equal payloads are found from digests alone; only groups of two rows or
     more are joined with the pages again, and Spark broadcasts them only while
     they are under its own threshold.
