@@ -210,9 +210,9 @@ def read_document(path: str, dictionary: bytes, doc_id: int) -> np.ndarray | Non
 
 
 def _sample(rows: DataFrame, tokenizer: str, n: int, longest: int) -> list[bytes]:
-    """Serialized ids of at most ``n`` texts of at most ``longest`` bytes, the same in each run."""
-    some = rows.where(F.octet_length("text").between(1, longest)).select(F.xxhash64("id").alias("k"), "text")
-    return Encoder(tokenizer).encode([r.text for r in some.orderBy("k", F.xxhash64("text")).limit(n).select("text").collect()])
+    """Serialized ids of about ``n`` texts less those of over ``longest`` bytes, the same in each run."""
+    some = scratch.sampled(rows, n, "id", "text").where(F.octet_length("text").between(1, longest))
+    return Encoder(tokenizer).encode(sorted(r.text for r in some.select("text").collect()))
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 400, sample_bytes: int = 32 << 10, dictionary_bytes: int = 64 << 10, roll_bytes: int = 32 << 20) -> tuple[DataFrame, bytes]:
