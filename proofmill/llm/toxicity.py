@@ -9,8 +9,8 @@ Labels say only whether a text is toxic. A labelled text's grade is 0 if it is
 not, and else 1 plus the number of ``tiers`` that its marked words reach, where
 a word is marked if nearly all labelled texts that hold it are toxic.
 
-The model is fitted on at most ``sample_rows`` labelled rows of either class, in
-the order of a hash of their ids, of which near copies (equal least hashes of
+The model is fitted on about ``sample_rows`` labelled rows of either class,
+those with the least hashes of their ids, of which near copies (equal least hashes of
 three-word runs) count once; thresholds are then shifted to the share of toxic
 rows among all labels. Every text is scored whole.
 
@@ -108,8 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, n_features:
         for batch in batches:
             yield batch.append_column("likeness", pa.array([likeness(t) for t in batch.column("text").to_pylist()], pa.int64()))
 
-    parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(sample_rows) for y in (0, 1)]
-    chosen = scratch.stored(parts[0].unionAll(parts[1]), "toxic-labels")  # at most twice sample_rows pairs
+    parts = [scratch.sampled(known.where(F.col("toxic") == y), sample_rows, "id") for y in (0, 1)]
+    chosen = scratch.stored(parts[0].unionAll(parts[1]), "toxic-labels")  # about twice sample_rows pairs, eight times at most
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("text", "toxic")
     rows = rows.mapInArrow(liken, "text string, toxic int, likeness long").dropDuplicates(["likeness"]).drop("likeness")
     rows = scratch.stored(rows, "toxic-sample")
