@@ -9,22 +9,22 @@ The coordinates are cut into bands; texts that share a band are candidates, and
 every link is confirmed on the full sets.
 
 Texts with equal sets form a class, which takes part once, under its least id.
-In a band's bucket each class is compared with the bucket's least one, so that a
-bucket of copies costs one comparison a class. Components are built from the
+In a band's bucket each class is compared with the one that meets most others in
+all its bands, so that a bucket of copies costs one comparison a class. Components are built from the
 confirmed links. In buckets that still hold several components, all pairs of
 classes from different components are compared by their sizes and by one byte
 of each coordinate, block by block; pairs that may reach the threshold are
-confirmed in turn and the components are joined. So no pair that shares a band
+confirmed on the spot and the components are joined. So no pair that shares a band
 is lost unless a path of links joins it already.
 
 ``threshold`` is a percentage: 100 * |A and B| >= threshold * |A or B|. With 40
 bands of 6 coordinates a pair at 80 % is missed with a probability of 5e-6, at
-85 % of 1e-8; the byte filter wants 65 % of 240 coordinates at 80 %, which is over
-five deviations off.
+85 % of 1e-8; the byte filter wants 67.5 % of 240 coordinates, which at 80 % is near five
+deviations off.
 
 Defined cases: a null or wordless text has an empty set and is linked with
-nothing; a null id takes part with its text but gives no name to a component, so
-a component of null ids alone has none; repeated rows, and rows that share an
+nothing; a row with a null id gets the component of the texts that have its set,
+and none where only null ids have it, and is never kept; repeated rows, and rows that share an
 id, are one document; an empty table gives an empty result; other columns are
 neither read nor returned.
 """
@@ -36,7 +36,7 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm import scratch
@@ -44,8 +44,9 @@ from proofmill.llm import scratch
 BANDS, ROWS = 40, 6
 PLACES = 1 << 22  # D
 MEMO_WORDS = 500_000
-#: Classes of a bucket that are compared with as many others at once.
-BLOCK = 512
+#: Classes of a bucket that are compared with as many others at once, and bytes of their texts.
+BLOCK = 2048
+BLOCK_BYTES = 32 << 20
 SEED = 20240229
 
 _U = np.uint64
@@ -211,37 +212,79 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
-def leftover_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of a bucket's classes in different components that may reach the threshold.
+def _blocks(members: DataFrame, width: int, size: str) -> DataFrame:
+    """Members of a bucket once for each two blocks that they are of: (band, i, j) is what one task compares.
 
-    ``members``: band, id, root, n_shingles, marks. A bucket is cut into blocks
-    of about BLOCK classes, and each two blocks meet in a task of their own.
+    A block has about ``width`` members, and about BLOCK_BYTES of ``size`` at most.
     """
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = sizes.where("lo != hi").select("band", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
-    rows = members.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n_shingles", "marks")
-    wanted = threshold / 100 - 0.15
-
-    def pairs(table: pa.Table) -> pa.Table:
-        side, i = table.column("block").to_numpy(), table.column("i")[0].as_py()
-        j = table.column("j")[0].as_py()
+    n = members.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / F.lit(width)), F.ceil(F.sum(size) / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    rows = members.join(n, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def leftover_links(members: DataFrame, docs: DataFrame, shingle: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """Confirmed links (a, b) between classes of different components that share a bucket.
+
+    ``members``: band, id, root, n_shingles, bands, marks. No pair leaves a task
+    unless it is a link. First the classes that have a possible partner are
+    told by sizes and marks alone, then their texts are compared; a pair is
+    compared in the first band that both share.
+    """
+    wanted = threshold / 100 - 0.125
+
+    def partners(table: pa.Table):
+        """(x, partners of x) of one group."""
+        side, i, j, band = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("band")[0].as_py()
         ids, roots, n = (table.column(c).to_numpy() for c in ("id", "root", "n_shingles"))
         marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
+        k = int(np.flatnonzero(bands[0] == band)[0])
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        out_a, out_b = [], []
         for x in left:
             y = right[(roots[right] != roots[x]) & (100 * np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]))]
             y = y[ids[y] > ids[x]] if i == j else y
+            y = y[~(bands[y, :k] == bands[x, :k]).any(axis=1)] if k else y
+            y = y[(marks[y] == marks[x]).mean(axis=1) >= wanted] if len(y) else y
             if len(y):
-                y = y[(marks[y] == marks[x]).mean(axis=1) >= wanted]
-                out_a.append(np.minimum(ids[x], ids[y]))
-                out_b.append(np.maximum(ids[x], ids[y]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])})
-
-    return met.groupBy("band", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+                yield x, y
+
+    def possible(table: pa.Table) -> pa.Table:
+        found = np.zeros(table.num_rows, bool)
+        for x, y in partners(table):
+            found[x], found[y] = True, True
+        return table.select(["band", "id"]).filter(pa.array(found))
+
+    def linked(table: pa.Table) -> pa.Table:
+        shingler, sets, texts = Shingler(shingle), OrderedDict(), table.column("text")
+        ids = table.column("id").to_numpy()
+
+        def of(r):
+            if r not in sets:
+                sets[r] = shingler(texts[int(r)].as_py())
+                if len(sets) > 2 * BLOCK:
+                    sets.popitem(last=False)
+            return sets[r]
+
+        a, b, joined = [], [], {}
+        for x, ys in partners(table):
+            for y in ys:
+                if joined.get(x, x) == joined.get(y, y + len(ids)):
+                    continue  # both are linked with one that was before
+                s, t = of(x), of(y)
+                same = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * same >= threshold * (len(s) + len(t) - same):
+                    a.append(min(ids[x], ids[y])), b.append(max(ids[x], ids[y]))
+                    joined[x] = joined.setdefault(y, joined.get(x, x))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    slim = members.withColumn("size", F.lit(600))
+    some = _blocks(slim, BLOCK, "size").drop("size").groupBy("band", "i", "j").applyInArrow(possible, "band long, id long").distinct()
+    some = scratch.stored(some, "near-possible")
+    named = some.select("id").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(named, "id", "left_semi").dropDuplicates(["id"])
+    rows = members.join(some, ["band", "id"]).join(texts, "id").withColumn("size", F.octet_length("text"))
+    return _blocks(rows, BLOCK, "size").drop("size").groupBy("band", "i", "j").applyInArrow(linked, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,20 +295,23 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col:
     # one row for each class: its least id's (rows that share an id have the same set, or are one document)
     reps = made.join(slim.where("id = rep").select("id").distinct(), "id", "left_semi").where("set_key is not null").dropDuplicates(["id"])
     banded = scratch.stored(reps.select("id", "n_shingles", "marks", F.explode("bands").alias("band")).select("id", "band"), "near-bands")
-    hubs = banded.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = scratch.stored(banded.join(hubs, "band"), "near-shared")
-    pairs = scratch.stored(shared.where("id != a").select("a", F.col("id").alias("b")).distinct(), "near-pairs")
+    met = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.stored(banded.join(met, "band"), "near-shared")
+    # what most others meet in most bands, as the text that all were copied from, is the one to compare with
+    score = shared.groupBy("id").agg(F.sum("n").alias("score"))
+    scored = shared.join(score, "id")
+    hubs = scored.groupBy("band").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("hub"))
+    hub_pairs = shared.join(hubs, "band").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    pairs = scratch.stored(hub_pairs.distinct(), "near-pairs")
     links = scratch.stored(confirmed(pairs, docs, shingle, threshold, id_col, text_col), "near-links")
     roots = components(links)
 
-    marked = made.select("id", "n_shingles", "marks").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     members = shared.select("band", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    spread = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    members = members.join(spread, "band", "left_semi").join(marked, "id")
-    rest = leftover_pairs(members, threshold).join(pairs, ["a", "b"], "left_anti")
-    rest = scratch.stored(rest, "near-rest")
-    if not rest.isEmpty():
-        more = scratch.stored(confirmed(rest, docs, shingle, threshold, id_col, text_col), "near-links")
+    mixed = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
+    members = scratch.stored(members.join(mixed, "band"), "near-mixed")
+    marked = made.join(members.select("id").distinct(), "id", "left_semi").select("id", "n_shingles", "bands", "marks").dropDuplicates(["id"])
+    more = scratch.stored(leftover_links(members.join(marked, "id"), docs, shingle, threshold, id_col, text_col), "near-links")
+    if not more.isEmpty():
         roots = components(roots.select(F.col("id").alias("b"), F.col("root").alias("a")).unionByName(more))
 
     named = roots.withColumnRenamed("id", "rep")
