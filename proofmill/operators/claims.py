@@ -39,7 +39,7 @@ def unpivot(profiles: DataFrame, id_col: str = "extraction_id") -> DataFrame:
     first = Window.partitionBy(id_col, "field", "kind", "same").orderBy("item")
     order = Window.partitionBy(id_col).orderBy("place", "item")
     kept = flat.withColumn("nth", F.row_number().over(first)).where("nth = 1").withColumn("claim_ord", F.row_number().over(order))
-    return kept.select(id_col, "field", "kind", "value", "claim_ord", F.concat(F.lit("c"), F.lpad(F.col("claim_ord").cast("string"), 2, "0")).alias("claim_id"))
+    return kept.select(id_col, "field", "kind", "value", "claim_ord", F.format_string("c%02d", "claim_ord").alias("claim_id"))
 
 
 def deduped(claims: DataFrame, id_col: str = "extraction_id") -> DataFrame:
