@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-#: The margin under which a text is rejected: two languages explain it equally well.
-MIN_MARGIN = 0.001
+#: The margin under which a text is rejected: two languages explain it equally well. Of held-out documents at sf0.1, 1 %
+#: have a margin under 7.4 %; most texts of no learned language have one under 1 %.
+MIN_MARGIN = 0.01
 
 
 def normal(text: str) -> bytes:
