@@ -26,19 +26,41 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.where(~F.col("_language.rejected")).drop("_language")
 
 
+def _by_text(docs: DataFrame) -> tuple[str, DataFrame]:
+    """``docs`` with a key made from the text, as ids may be null or repeated, and the key's name."""
+    name = "_text_key"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name, docs.withColumn(name, F.xxhash64("text"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near copies."""
+    """Keep the document with the least id of each group of near copies.
+
+    Where ids are null or repeated, rows with equal texts are one document, whatever their ids: each group keeps one
+    row, that of its least id (null last), and a text without words keeps all its rows.
+    """
     _alone(spark)
-    groups = scratch.stored(near_dup.near_groups(docs).where(~F.col("kept")).select("doc_id"), "near-dropped")
-    return docs.join(groups.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        groups = scratch.stored(near_dup.near_groups(docs).where(~F.col("kept")).select("doc_id"), "near-dropped")
+        return docs.join(groups.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    key, keyed = _by_text(docs)
+    rows = scratch.stored(keyed.withColumn(f"{key}row", F.monotonically_increasing_id()), "near-rows")
+    groups = near_dup.near_groups(rows.select(key, "text"), id_col=key).where("n_shingles > 0").select(key, "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", f"{key}row")
+    kept = rows.select(key, "doc_id", f"{key}row").join(groups, key).groupBy("component_id").agg(F.min_by(f"{key}row", order).alias(f"{key}row"))
+    dropped = rows.join(groups, key, "left_semi").select(f"{key}row").join(kept, f"{key}row", "left_anti")
+    return rows.join(scratch.stored(dropped, "near-dropped"), f"{key}row", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
+    """Drop documents that hold a window of a benchmark item; a row goes by its own text, whatever its id."""
     _alone(spark)
-    found = phrase_index.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=None)
-    hit = scratch.stored(found.where("n_hit > 0").select("doc_id"), "phrase-hits")
-    return docs.join(hit.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    key, keyed = _by_text(docs)
+    found = phrase_index.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=None, id_col=key)
+    hit = scratch.stored(found.where("n_hit > 0").select(F.col("doc_id").alias(key)), "phrase-hits")
+    return keyed.join(hit.distinct(), key, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
