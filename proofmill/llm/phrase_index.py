@@ -22,7 +22,10 @@ row is hit; other columns are neither read nor returned.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +38,18 @@ from proofmill.llm import files, scratch
 WINDOW = 10
 #: Words that a shard holds about; its lists are what a task holds at once.
 SHARD_WORDS = 500_000
-#: Test words that are sent to every task at most; a larger test set is searched in blocks of items.
+#: Test words that are sent to every task at most, at 8 bytes; a larger test set is searched in blocks of items.
 MAX_TEST_WORDS = 2_000_000
 #: Upper case to lower, and everything that ends a word to a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 INDEX = pa.schema([
     ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())),
-    ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("postings", pa.binary()),
+    ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("postings", pa.binary()), ("shard", pa.string()),
 ])
-INDEX_DDL = "doc_ids array<long>, n_words array<long>, terms array<string>, counts array<long>, postings binary"
+#: What a search returns of each document.
+FOUND = ["doc_id", "n_words", "n_hit", "items", "near_items", "spans"]
+INDEX_DDL = "doc_ids array<long>, n_words array<long>, terms array<string>, counts array<long>, postings binary, shard string"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -94,7 +99,7 @@ class ShardBuilder:
         steps = np.diff(at, prepend=0)
         steps[first] = at[first]
         packed = zstandard.ZstdCompressor(level=1).compress(steps.astype("<u4").tobytes())
-        row = {"doc_ids": [self.doc_ids], "n_words": [self.n_words], "terms": [[names[i].decode("utf-8", "surrogatepass") for i in terms]], "counts": [counts.tolist()], "postings": [packed]}
+        row = {"doc_ids": [self.doc_ids], "n_words": [self.n_words], "terms": [[names[i].decode("utf-8", "surrogatepass") for i in terms]], "counts": [counts.tolist()], "postings": [packed], "shard": [uuid.uuid4().hex]}
         self.clear()
         return files.table(row, INDEX)
 
@@ -182,8 +187,11 @@ class Shard:
         return here
 
 
-def search(index: DataFrame, items: list[tuple[int, list[bytes]]], size: int = WINDOW, slop: int | None = 20) -> DataFrame:
-    """A row for each document: n_words, n_hit, the items whose windows occur, those with a window only near (unless ``slop`` is None), and the hit spans."""
+def search(index: DataFrame, items: list[tuple[int, list[bytes]]], size: int = WINDOW, slop: int | None = 20, placed: bool = False) -> DataFrame:
+    """A row for each document: n_words, n_hit, the items whose windows occur, those with a window only near (unless ``slop`` is None), and the hit spans.
+
+    With ``placed`` also its shard and its place there, which tell rows apart whatever their ids.
+    """
     counts = frequencies(index, {t for _, terms in items for t in terms})
     query = Query(items, counts, size)
 
@@ -221,27 +229,64 @@ def search(index: DataFrame, items: list[tuple[int, list[bytes]]], size: int = W
                         pa.array(shard.n_words[some.start : some.stop]),
                         pa.array(n_hit[some.start : some.stop]),
                         pa.array([sorted(found[d], key=str) if d in found else [] for d in some], pa.list_(pa.int64())),
-                        pa.array([sorted(close[d] - found.get(d, set())) if d in close else [] for d in some], pa.list_(pa.int64())),
+                        pa.array([sorted(close[d] - found.get(d, set()), key=lambda i: (i is None, i or 0)) if d in close else [] for d in some], pa.list_(pa.int64())),
                         pa.array([[{"first": a, "end": e} for a, e in spans[d]] if d in spans else [] for d in some], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                    ], names=["doc_id", "n_words", "n_hit", "items", "near_items", "spans"])
+                        pa.array([row["shard"]] * len(some), pa.string()),
+                        pa.array(some, pa.int64()),
+                    ], names=[*FOUND, "shard", "place"])
+
+    found = index.mapInArrow(find, "doc_id long, n_words long, n_hit long, items array<long>, near_items array<long>, spans array<struct<first: long, end: long>>, shard string, place long")
+    return found if placed else found.select(*FOUND)
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """The rows of several blocks of items as one search would give them."""
+
+    def joined(spans, span):
+        last = F.try_element_at(spans, F.lit(-1))
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], span["end"]).alias("end"))
+        apart = last.isNull() | (last["end"] < span["first"])
+        return F.when(apart, F.concat(spans, F.array(span))).otherwise(F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(longer)))
+
+    def all_of(name):
+        return F.flatten(F.collect_list(name)).alias(name)
 
-    return index.mapInArrow(find, "doc_id long, n_words long, n_hit long, items array<long>, near_items array<long>, spans array<struct<first: long, end: long>>")
+    rows = parts.groupBy("shard", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), all_of("items"), all_of("near_items"), all_of("spans"))
+    none = F.array().cast("array<struct<first: long, end: long>>")
+    rows = rows.withColumn("spans", F.aggregate(F.array_sort("spans"), none, joined))
+    by_name = F.transform(F.array_sort(F.transform(F.array_distinct("items"), lambda i: F.struct(F.coalesce(i.cast("string"), F.lit("None")).alias("s"), i.alias("i")))), lambda x: x["i"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["first"])
+    rows = rows.withColumn("near_items", F.array_sort(F.array_except("near_items", "items"))).withColumn("items", by_name)
+    return rows.withColumn("n_hit", n_hit).select(*FOUND)
 
 
-def test_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[int, list[bytes]]]:
-    """The items' words, on the driver; a test set over MAX_TEST_WORDS is refused, to be given in blocks."""
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, list[bytes]]]]:
+    """The items' words in blocks of up to 8 * MAX_TEST_WORDS bytes, one at a time on the driver; a larger item is a block of its own."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > 8 * MAX_TEST_WORDS:
-        raise ValueError(f"the test set has {size} bytes; search it in blocks of up to {8 * MAX_TEST_WORDS}")
-    return [(r.id, w) for r in rows.collect() if (w := words(r.text))]
+    block, size = [], 0
+    for r in rows.toLocalIterator():
+        n = len(r.text.encode("utf-8", "surrogatepass"))
+        if block and size + n > 8 * MAX_TEST_WORDS:
+            yield block
+            block, size = [], 0
+        if w := words(r.text):
+            block.append((r.id, w))
+            size += n
+    yield block
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int | None = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Build the index of the test terms and search all items in it."""
-    items = test_items(benchmark)
-    index = build_index(docs, {t for _, terms in items for t in terms}, id_col, text_col)
-    return search(index, items, size, slop)
+    """Build the index of the test terms and search all items in it; of all terms, for a test set of several blocks."""
+    parts = blocks(benchmark)
+    items, second = next(parts), next(parts, None)
+    if second is None:
+        index = build_index(docs, {t for _, terms in items for t in terms}, id_col, text_col)
+        return search(index, items, size, slop)
+    index, found = build_index(docs, None, id_col, text_col), None
+    for block in chain([items, second], parts):
+        part = scratch.stored(search(index, block, size, slop, placed=True), "phrase-found")
+        found = part if found is None else found.unionByName(part)
+    return merged(found)
 
 
 def op9_phrase_index(spark, sf_dir: str) -> DataFrame:
