@@ -275,12 +275,12 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int | None = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Build the index of the test terms and search all items in it; of all terms, for a test set of several blocks."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int | None = 20, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
+    """Build the index and search all items in it: of all terms where ``full`` or for several blocks of items, else of the test terms."""
     parts = blocks(benchmark)
     items, second = next(parts), next(parts, None)
     if second is None:
-        index = build_index(docs, {t for _, terms in items for t in terms}, id_col, text_col)
+        index = build_index(docs, None if full else {t for _, terms in items for t in terms}, id_col, text_col)
         return search(index, items, size, slop)
     index, found = build_index(docs, None, id_col, text_col), None
     for block in chain([items, second], parts):
@@ -290,7 +290,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slo
 
 
 def op9_phrase_index(spark, sf_dir: str) -> DataFrame:
-    found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), full=True)
     return found.select(
         "doc_id",
         "n_words",

@@ -22,3 +22,11 @@ def test_blocks_give_the_rows_of_one_search(spark, monkeypatch):
     monkeypatch.setattr(phrase_index, "MAX_TEST_WORDS", 20)
     assert len(list(phrase_index.blocks(b))) > 3
     assert rows() == one and any("Row(first" in r for r in one)
+
+
+def test_op9_stores_all_postings(spark, monkeypatch):
+    built, build = [], phrase_index.build_index
+    monkeypatch.setattr(phrase_index, "build_index", lambda *a, **k: built.append(build(*a, **k)) or built[-1])
+    phrase_index.op9_phrase_index(spark, "/root/testdata/sf0.001")
+    rows = [r for index in built for r in index.collect()]
+    assert sum(sum(r.counts) for r in rows) == sum(sum(r.n_words) for r in rows) > 0
