@@ -8,14 +8,20 @@ coordinate, so that coordinate k of a set is the least pi[(sigma(x) + k) mod D].
 The coordinates are cut into bands; texts that share a band are candidates, and
 every link is confirmed on the full sets.
 
-Texts with equal sets form a class, which takes part once, under its least id.
-In a band's bucket each class is compared with the one that meets most others in
-all its bands, so that a bucket of copies costs one comparison a class. Components are built from the
-confirmed links. In buckets that still hold several components, all pairs of
-classes from different components are compared by their sizes and by one byte
-of each coordinate, block by block; pairs that may reach the threshold are
-confirmed on the spot and the components are joined. So no pair that shares a band
-is lost unless a path of links joins it already.
+Texts with equal sets form a class, which takes part once, as one node; the
+classes come from one aggregation whose map side already folds copies. Bands
+that only one class has are dropped before anything else is done with them. In
+a band's bucket each class is compared with the one that meets most others in
+all its bands, so that a bucket of copies costs one comparison a class.
+Components are built from the confirmed links. In buckets that still hold
+several components, all pairs of classes from different components are compared
+by their sizes and by one byte of each coordinate, block by block; pairs that
+may reach the threshold are confirmed on the spot and the components are joined.
+So no pair that shares a band is lost unless a path of links joins it already.
+
+Joins of tables that both grow with the input are sort-merge joins by hint, at
+every size, and what they read is written before, so that Spark can split the
+rows of a hot key over tasks.
 
 ``threshold`` is a percentage: 100 * |A and B| >= threshold * |A or B|. With 40
 bands of 6 coordinates a pair at 80 % is missed with a probability of 5e-6, at
@@ -23,10 +29,12 @@ bands of 6 coordinates a pair at 80 % is missed with a probability of 5e-6, at
 deviations off.
 
 Defined cases: a null or wordless text has an empty set and is linked with
-nothing; a row with a null id gets the component of the texts that have its set,
-and none where only null ids have it, and is never kept; repeated rows, and rows that share an
-id, are one document; an empty table gives an empty result; other columns are
-neither read nor returned.
+nothing; every row goes by its own text, also where rows share an id; a
+component's id is the least id of its rows, null if all are null, and a row with
+a null id links like any other but is never kept; repeated rows have the same
+component and the same ``kept``; an empty table gives an empty result; other
+columns are neither read nor returned by ``near_groups``, while ``one_of_each``
+returns all columns of its input whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm import scratch
@@ -121,8 +129,16 @@ class Signer:
         return (_mix(signature.astype(np.uint64)) & _U(255)).astype(np.uint8).tobytes()
 
 
+def keys_of(id_col: Column, text_col: Column) -> list[Column]:
+    """128 bits that tell rows apart by id and text, and that any scan of the texts gives again."""
+    return [F.coalesce(id_col.cast("long"), F.xxhash64(F.lit(1), text_col)).alias("k1"), F.xxhash64(text_col).alias("k2")]
+
+
 def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_key (of the whole set), bands and marks (a byte of each coordinate), one pass over the texts."""
+    """row, id, k1, k2, n_shingles, set_key (of the whole set), bands and marks (a byte of each coordinate), one pass over the texts.
+
+    ``row`` numbers the rows of this pass alone: write the result before using it.
+    """
 
     def make(batches):
         shingler, signer = Shingler(shingle), Signer()
@@ -138,33 +154,37 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append(signer.band_keys(signature))
                 marks.append(signer.bytes_of(signature))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["id", "n_shingles", "set_key", "bands", "marks"])
+            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("row", "id", "k1", "k2")], *made], names=["row", "id", "k1", "k2", "n_shingles", "set_key", "bands", "marks"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), *keys_of(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
+    return rows.mapInArrow(make, "row long, id long, k1 long, k2 long, n_shingles long, set_key binary, bands array<long>, marks binary")
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(make, "id long, n_shingles long, set_key binary, bands array<long>, marks binary")
+def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of ``nodes`` (node, k1, k2)."""
+    texts = docs.select(*keys_of(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
+    return texts.join(nodes.select("node", "k1", "k2").hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "text")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold.
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets reach the threshold.
 
-    Only texts that a pair names are shuffled. A hot text's pairs are split by
-    Spark's skew handling; rows arrive in order of a, whose set is kept.
+    A hot text's pairs are split by Spark's skew handling; rows arrive in order
+    of a, whose set is kept.
     """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(named, "id", "left_semi").dropDuplicates(["id"])
-    texts = scratch.stored(texts, "near-texts")
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    both = pairs.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def check(batches):
         shingler, kept = Shingler(shingle), OrderedDict()
 
-        def of(doc_id, text):
-            if doc_id not in kept:
-                kept[doc_id] = shingler(text)
+        def of(node, text):
+            if node not in kept:
+                kept[node] = shingler(text)
                 if len(kept) > 64:
                     kept.popitem(last=False)
-            return kept[doc_id]
+            return kept[node]
 
         for batch in batches:
             keep = []
@@ -179,37 +199,37 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: int, i
     return both.mapInArrow(check, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, root) of every linked id, root being the least id of its component.
 
-    Alternating star steps: an id's neighbours are moved to its least neighbour
-    until each component is a star. Each round's table is written, so lineage
-    does not grow; nothing but two numbers a round comes to the driver.
+    Alternating star steps, until nothing changes: an id's neighbours are moved
+    to its least neighbour until each component is a star. Each step's tables
+    are written, so lineage does not grow and a hot id's edges can be split;
+    nothing but two numbers a round comes to the driver.
     """
-    spark = links.sparkSession
 
-    def least(edges: DataFrame) -> DataFrame:
-        """Edges (u, v) with u > v, each with the least neighbour of u."""
-        m = edges.groupBy("u").agg(F.min("v").alias("m"))
-        return edges.join(m, "u")
+    def with_least(edges: DataFrame) -> DataFrame:
+        """(u, v, m), m being the least neighbour of u."""
+        least = scratch.stored(edges.groupBy("u").agg(F.min("v").alias("m")), "near-least")
+        used.append(least)
+        return edges.hint("merge").join(least, "u")
 
+    used: list[DataFrame] = []
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges = scratch.stored(edges, "near-edges")
-    before = None
-    for _ in range(rounds):
+    edges, before = scratch.stored(edges, "near-edges"), None
+    while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        stepped = least(large)  # the small star: v and u itself go to m
-        small = stepped.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
+        large = scratch.stored(large, "near-large")
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = with_least(large).select(F.explode(ends).alias("e")).select("e.*").where("u != v").distinct()
         new = scratch.stored(small, "near-edges")
-        scratch.remove(spark, scratch.files_of(edges)) if before is not None else None
-        edges = new
+        scratch.drop(edges, large, *used)
+        edges, used = new, []
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
 def _blocks(members: DataFrame, width: int, size: str) -> DataFrame:
@@ -223,10 +243,10 @@ def _blocks(members: DataFrame, width: int, size: str) -> DataFrame:
     return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
 
 
-def leftover_links(members: DataFrame, docs: DataFrame, shingle: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
+def leftover_links(members: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """Confirmed links (a, b) between classes of different components that share a bucket.
 
-    ``members``: band, id, root, n_shingles, bands, marks. No pair leaves a task
+    ``members``: band, id (of the node), root, n_shingles, bands, marks. No pair leaves a task
     unless it is a link. First the classes that have a possible partner are
     told by sizes and marks alone, then their texts are compared; a pair is
     compared in the first band that both share.
@@ -279,45 +299,93 @@ def leftover_links(members: DataFrame, docs: DataFrame, shingle: int, threshold:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     slim = members.withColumn("size", F.lit(600))
-    some = _blocks(slim, BLOCK, "size").drop("size").groupBy("band", "i", "j").applyInArrow(possible, "band long, id long").distinct()
+    some = _blocks(slim, 4 * BLOCK, "size").drop("size").groupBy("band", "i", "j").applyInArrow(possible, "band long, id long").distinct()
     some = scratch.stored(some, "near-possible")
-    named = some.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(named, "id", "left_semi").dropDuplicates(["id"])
-    rows = members.join(some, ["band", "id"]).join(texts, "id").withColumn("size", F.octet_length("text"))
+    rows = members.hint("merge").join(some, ["band", "id"]).hint("merge").join(texts.withColumnRenamed("node", "id"), "id").withColumn("size", F.octet_length("text"))
     return _blocks(rows, BLOCK, "size").drop("size").groupBy("band", "i", "j").applyInArrow(linked, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the least id that links reach) and kept for every row."""
+def _bands(classes: DataFrame, *columns: str) -> DataFrame:
+    return classes.select(*columns, F.explode("bands").alias("band"))
+
+
+def _grouped(docs: DataFrame, shingle: int, threshold: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, k1, k2, n_shingles, set_key), and for each set of several rows or with a link (set_key, component_id, s1, s2).
+
+    s1 and s2 are the keys of the component's first row, that of the least id (null last).
+    """
     made = scratch.stored(sketches(docs, shingle, id_col, text_col), "near-sketches")
-    of_set = made.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
-    slim = scratch.stored(made.select("id", "n_shingles", "set_key").join(of_set, "set_key", "left"), "near-classes")
-    # one row for each class: its least id's (rows that share an id have the same set, or are one document)
-    reps = made.join(slim.where("id = rep").select("id").distinct(), "id", "left_semi").where("set_key is not null").dropDuplicates(["id"])
-    banded = scratch.stored(reps.select("id", "n_shingles", "marks", F.explode("bands").alias("band")).select("id", "band"), "near-bands")
-    met = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = scratch.stored(banded.join(met, "band"), "near-shared")
+    # rows of a set have equal bands and marks, whichever is first
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first")
+    node = F.min(F.struct("row", "k1", "k2")).alias("node")
+    classes = made.where("set_key is not null").groupBy("set_key").agg(node, first, F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "marks")])
+    classes = scratch.stored(classes.select("set_key", F.col("node.row").alias("node"), "node.k1", "node.k2", "first", "n", "n_shingles", "bands", "marks"), "near-classes")
+
+    met = scratch.stored(_bands(classes).groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-met")
+    shared = _bands(classes, "node").hint("merge").join(met, "band").groupBy("node").agg(F.sum("n").alias("score"), F.collect_list("band").alias("bands"))
+    shared = scratch.stored(shared.hint("merge").join(classes.select("node", "k1", "k2", "n_shingles"), "node"), "near-shared")
     # what most others meet in most bands, as the text that all were copied from, is the one to compare with
-    score = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    scored = shared.join(score, "id")
-    hubs = scored.groupBy("band").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("hub"))
-    hub_pairs = shared.join(hubs, "band").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    pairs = scratch.stored(hub_pairs.distinct(), "near-pairs")
-    links = scratch.stored(confirmed(pairs, docs, shingle, threshold, id_col, text_col), "near-links")
+    hubs = _bands(shared, "node", "n_shingles", "score").groupBy("band").agg(F.min(F.struct((-F.col("score")).alias("s"), "node", "n_shingles")).alias("hub"))
+    hubs = scratch.stored(hubs.select("band", F.col("hub.node").alias("hub"), F.col("hub.n_shingles").alias("hub_n")), "near-hubs")
+    near_sizes = F.expr(f"100 * least(n_shingles, hub_n) >= {threshold} * greatest(n_shingles, hub_n)")
+    hub_pairs = _bands(shared, "node", "n_shingles").hint("merge").join(hubs, "band").where(F.col("node") != F.col("hub")).where(near_sizes)
+    pairs = scratch.stored(hub_pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    texts = scratch.stored(texts_of(shared, docs, id_col, text_col), "near-texts")
+    links = scratch.stored(confirmed(pairs, texts, shingle, threshold), "near-links")
     roots = components(links)
-
-    members = shared.select("band", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    members = scratch.stored(members.join(mixed, "band"), "near-mixed")
-    marked = made.join(members.select("id").distinct(), "id", "left_semi").select("id", "n_shingles", "bands", "marks").dropDuplicates(["id"])
-    more = scratch.stored(leftover_links(members.join(marked, "id"), docs, shingle, threshold, id_col, text_col), "near-links")
+    scratch.drop(met, hubs, pairs, links)
+
+    members = shared.select("node", "bands").hint("merge").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = scratch.stored(members, "near-members")
+    mixed = _bands(members, "root").groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
+    mixed = _bands(members, F.col("node").alias("id"), "root").hint("merge").join(scratch.stored(mixed, "near-mixed"), "band")
+    mixed = scratch.stored(mixed, "near-mixed")
+    marked = classes.select(F.col("node").alias("id"), "n_shingles", "bands", "marks").hint("merge").join(mixed.select("id").distinct(), "id")
+    marked = scratch.stored(mixed.hint("merge").join(scratch.stored(marked, "near-marked"), "id"), "near-marked")
+    more = scratch.stored(leftover_links(marked, texts, shingle, threshold), "near-links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("id").alias("b"), F.col("root").alias("a")).unionByName(more))
+    scratch.drop(shared, texts, members, mixed, marked, more)
+
+    named = classes.select("set_key", "node", "first", "n").hint("merge").join(roots.withColumnRenamed("id", "node"), "node", "left")
+    named = named.withColumn("root", F.coalesce("root", "node"))
+    heads = scratch.stored(named.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("rows")).where("rows > 1"), "near-heads")
+    of_set = named.select("set_key", "root").hint("merge").join(heads, "root").select("set_key", F.col("first.id").alias("component_id"), F.col("first.k1").alias("s1"), F.col("first.k2").alias("s2"))
+    of_set = scratch.stored(of_set, "near-sets")
+    scratch.drop(classes, heads)
+    return made.select("id", "k1", "k2", "n_shingles", "set_key"), of_set
 
-    named = roots.withColumnRenamed("id", "rep")
-    out = slim.join(named, "rep", "left").withColumn("component_id", F.coalesce("root", "rep", "id"))
+
+def near_groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (the least id that links reach) and kept for every row."""
+    rows, of_set = _grouped(docs, shingle, threshold, id_col, text_col)
+    out = rows.hint("merge").join(of_set, "set_key", "left").withColumn("component_id", F.when(F.col("s1").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row of the least id (null last) stays.
+
+    Rows that share an id go by their own texts; of repeated rows one stays,
+    that with the least other columns; rows without words all stay.
+    """
+    rows, of_set = _grouped(docs, shingle, threshold, id_col, text_col)
+    judged = rows.select("set_key", "k1", "k2").hint("merge").join(of_set, "set_key")
+    judged = judged.groupBy("k1", "k2").agg(F.max(F.expr("k1 = s1 and k2 = s2")).alias("stays"), F.count("*").alias("rows"))
+    out = scratch.stored(judged.where("not stays or rows > 1"), "near-dropped")
+    names = [f"_near_{len(docs.columns)}_{k}" for k in ("k1", "k2")]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    keyed = docs.withColumns(dict(zip(names, keys_of(F.col(id_col), F.col(text_col)), strict=True)))
+    out = out.toDF(*names, "stays", "rows")
+    single = keyed.hint("merge").join(out.select(*names), names, "left_anti").select(*docs.columns)
+    twice = out.where("stays")
+    if twice.isEmpty():
+        return single
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    again = keyed.hint("merge").join(twice.select(*names), names, "left_semi").groupBy(*names).agg(F.min(row).alias("row"))
+    return single.unionByName(again.select("row.*"))
+
+
 def op8_near_dup(spark, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, threshold=80)

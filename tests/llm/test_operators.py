@@ -261,7 +261,7 @@ def test_leftover_links_lose_nothing(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     made = near_dup.sketches(df, 4, "doc_id", "text").collect()
     members = spark.createDataFrame([(1, r.id, r.id, r.n_shingles, [1, *r.bands[1:]], bytes(r.marks)) for r in made], "band long, id long, root long, n_shingles long, bands array<long>, marks binary")
-    got = near_dup.leftover_links(members, df, 4, 80, "doc_id", "text").collect()
+    got = near_dup.leftover_links(members, df.withColumnRenamed("doc_id", "node"), 4, 80).collect()
     assert sorted((r.a, r.b) for r in got) == [(2 * k, 2 * k + 1) for k in range(6)]
 
 
@@ -278,6 +278,32 @@ def test_circulant_signature():
     assert abs(same - true) < 0.12
 
 
+def test_near_dup_rows(spark, odd):
+    """Null and shared ids, repeated rows, wordless texts: every row goes by its own text."""
+    a, b, c = ("".join(f"{x}{i} " for i in range(60)) for x in "abc")
+    rows = [(None, a), (5, a), (None, a + "end"), (7, b), (7, b), (7, c), (8, b), (None, "lone words of a null id"), (9, None), (9, ""), (None, " \n"), (3, "One two"), (4, "one\ttwo")]
+    df = spark.createDataFrame([(i, t, "x", 1, b"x") for i, t in rows], "doc_id long, text string, set_key string, node long, marks binary").repartition(5)
+    want = [(None, 5, False), (5, 5, True), (None, 5, False), (7, 7, True), (7, 7, True), (7, 7, True), (8, 7, False), (None, None, False), (9, 9, True), (9, 9, True), (None, None, False), (3, 3, True), (4, 3, False)]
+    got = near_dup.near_groups(df)
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got.collect()) == Counter(want)
+    left = near_dup.one_of_each(df)
+    assert left.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(5, a), (7, b), (7, c), (None, rows[7][1]), (9, None), (9, ""), (None, " \n"), (3, "One two")])
+    assert Counter(near_dup.one_of_each(odd).select("doc_id").collect()) == Counter((i,) for i in (1, 2, None, 3, 4, 5, 7, 8))
+
+
+def test_repeated_rows_leave_the_least(spark):
+    text = " ".join(f"t{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, s) for s in ("c", "a", "b")], "doc_id long, text string, source string")
+    assert [r.source for r in near_dup.one_of_each(df).collect()] == ["a"]
+
+
+def test_long_chains_settle(spark):
+    """A path of 3,000 links is one component, however many rounds that takes."""
+    got = near_dup.components(spark.range(3000).selectExpr("id as a", "id + 1 as b"))
+    assert got.count() == 3000 and got.select("root").distinct().collect() == [(0,)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (150, 300), (7, 7)]
     got = {r.id: r.root for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
