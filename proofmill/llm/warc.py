@@ -15,8 +15,9 @@ Defined cases: a null payload is an empty one; a null URL has no target header;
 a null id sorts below all others and is written as ``null``; repeated rows with
 the largest id of their group are the same page, and each is a response; an
 empty table gives no archive and an empty result; a record that fails a check
-comes back with its ``error`` and nulls for what could not be read; other
-columns are neither read nor returned.
+comes back with its ``error`` and nulls for what could not be read, and reading
+goes on with the next frame; a payload is never held while it is read, so
+records may have any length; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from proofmill.llm import files, scratch
 
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
+#: Compressed bytes that are decoded at once, and bytes that a header block may have.
+PIECE, MAX_HEAD = 16 << 10, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 MANIFEST = pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
@@ -71,11 +74,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def _headers(raw: bytes, first: str) -> tuple[dict[str, str], bytes]:
-    """Header fields and the rest; the first line must start with ``first``."""
-    head, mark, rest = raw.partition(b"\r\n\r\n")
-    if not mark:
-        raise BadRecord("the header block does not end")
+def _headers(head: bytes, first: str) -> dict[str, str]:
+    """Fields of a header block; the first line must start with ``first``."""
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith(first):
         raise BadRecord(f"the first line is not {first}: {lines[0][:40]}")
@@ -86,7 +86,7 @@ def _headers(raw: bytes, first: str) -> tuple[dict[str, str], bytes]:
             raise BadRecord(f"not a header field: {line[:40]}")
         if fields.setdefault(name.lower(), value.strip()) != value.strip():
             raise BadRecord(f"{name} occurs twice")
-    return fields, rest
+    return fields
 
 
 def _length(fields: dict[str, str]) -> int:
@@ -106,75 +106,156 @@ def _page(urn: str) -> int | None:
         raise BadRecord(f"not a page's record id: {urn[:40]}") from None
 
 
-def parse(raw: bytes) -> dict:
+class Parser:
+    """One record, fed in pieces; of the payload only its length and digest are kept."""
+
+    def __init__(self):
+        self.head, self.fields, self.http = b"", None, None
+        self.after, self.end, self.size, self.sha = 0, b"", 0, hashlib.sha1()
+
+    def _block_head(self, first: str) -> dict[str, str] | None:
+        """The header block at the start of what is held, which it is cut from; None while it does not end."""
+        head, mark, rest = self.head.partition(b"\r\n\r\n")
+        if not mark:
+            if len(self.head) > MAX_HEAD:
+                raise BadRecord(f"a header block has over {MAX_HEAD} bytes")
+            return None
+        self.head = rest
+        return _headers(head, first)
+
+    def feed(self, piece: bytes) -> None:
+        if self.http is None:
+            self.head += piece
+            if self.fields is None:
+                self.fields = self._block_head("WARC/1.")
+                if self.fields is None:
+                    return
+            before = len(self.head)
+            self.http = self._block_head("HTTP/")
+            if self.http is None:
+                return
+            self.after += before - len(self.head)
+            piece, self.head = self.head, b""
+        self.after += len(piece)
+        self.end += piece
+        payload, self.end = self.end[:-4], self.end[-4:]  # the last four bytes end the record
+        self.sha.update(payload)
+        self.size += len(payload)
+
+    def row(self) -> dict:
+        """The record's row, once all of it was fed; raises BadRecord."""
+        if self.http is None:
+            raise BadRecord("the header block does not end")
+        fields, kind = self.fields, self.fields.get("warc-type")
+        if kind not in ("response", "revisit"):
+            raise BadRecord(f"WARC-Type is {kind}")
+        for name in ("warc-record-id", "warc-date", "warc-payload-digest"):
+            if name not in fields:
+                raise BadRecord(f"{name} is missing")
+        if self.after != _length(fields) + 4 or self.end != b"\r\n\r\n":
+            raise BadRecord(f"the block has {self.after - 4} bytes; Content-Length is {_length(fields)}")
+        size, digest = _length(self.http), fields["warc-payload-digest"].removeprefix("sha1:")
+        if kind == "response" and self.size != size:
+            raise BadRecord(f"the payload has {self.size} bytes; its Content-Length is {size}")
+        if kind == "response" and base64.b32encode(self.sha.digest()).decode() != digest:
+            raise BadRecord("the payload's digest differs")
+        if kind == "revisit" and (self.size or fields.get("warc-profile") != PROFILE):
+            raise BadRecord("a revisit holds a payload or has another profile")
+        refers = _page(fields.get("warc-refers-to", "")) if kind == "revisit" else None
+        return {"page_id": _page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": refers, "error": None}
+
+
+def parse(pieces: Iterable[bytes]) -> dict:
     """One record's row; raises BadRecord."""
-    fields, rest = _headers(raw, "WARC/1.")
-    kind = fields.get("warc-type")
-    if kind not in ("response", "revisit"):
-        raise BadRecord(f"WARC-Type is {kind}")
-    for name in ("warc-record-id", "warc-date", "warc-payload-digest"):
-        if name not in fields:
-            raise BadRecord(f"{name} is missing")
-    if len(rest) != _length(fields) + 4 or not rest.endswith(b"\r\n\r\n"):
-        raise BadRecord(f"the block has {len(rest) - 4} bytes; Content-Length is {_length(fields)}")
-    http, payload = _headers(rest[:-4], "HTTP/")
-    size = _length(http)
-    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response" and len(payload) != size:
-        raise BadRecord(f"the payload has {len(payload)} bytes; its Content-Length is {size}")
-    if kind == "response" and digest_of(payload) != digest:
-        raise BadRecord("the payload's digest differs")
-    if kind == "revisit" and (payload or fields.get("warc-profile") != PROFILE):
-        raise BadRecord("a revisit holds a payload or has another profile")
-    refers = _page(fields.get("warc-refers-to", "")) if kind == "revisit" else None
-    return {"page_id": _page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": refers, "error": None}
+    parser = Parser()
+    for piece in pieces:
+        parser.feed(piece)
+    return parser.row()
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary
 
 
-def frames(blocks: Iterator[bytes], max_record_bytes: int = 1 << 30) -> Iterator[bytes]:
-    """Decoded frames of an archive, of which no more than one is held at a time."""
-    data, ended = b"", False
-
-    def fill(n: int) -> None:
-        nonlocal data, ended
-        while len(data) < n and not ended:
-            block = next(blocks, b"")
-            ended, data = not block, data + block
-
-    fill(8)
-    dictionary = None
-    if len(data) >= 8 and struct.unpack("<I", data[:4])[0] == DICT_MAGIC:
-        size = struct.unpack("<I", data[4:8])[0]
-        fill(8 + size)
-        if len(data) < 8 + size:
-            raise BadRecord("the dictionary frame is cut off")
-        raw, data = data[8 : 8 + size], data[8 + size :]
-        if struct.unpack("<I", raw[:4])[0] == FRAME_MAGIC if len(raw) >= 4 else False:
-            raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 27)  # it may itself be compressed
-        dictionary = zstandard.ZstdCompressionDict(raw)
-    context = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    while True:
-        fill(4)
-        if not data:
-            return
-        frame, out, n = context.decompressobj(), [], 0
-        while not frame.eof:
-            fill(1)
-            if not data:
-                raise BadRecord("the last frame is cut off")
+class Archive:
+    """Frames of an archive, one after the other, each as an iterator of decoded pieces."""
+
+    def __init__(self, blocks: Iterator[bytes]):
+        self.blocks, self.block, self.at = blocks, b"", 0
+        self.context = zstandard.ZstdDecompressor()
+        start = self._take(8)
+        if len(start) == 8 and struct.unpack("<I", start[:4])[0] == DICT_MAGIC:
+            size = struct.unpack("<I", start[4:])[0]
+            raw = self._take(size)
+            if len(raw) < size:
+                raise BadRecord("the dictionary frame is cut off")
+            if raw[:4] == struct.pack("<I", FRAME_MAGIC):
+                raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 27)  # it may itself be compressed
+            self.context = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+        else:
+            self.block, self.at = start + self.block[self.at :], 0
+
+    def _more(self) -> bool:
+        """Whether there is a byte to read."""
+        while self.at >= len(self.block):
+            self.block, self.at = next(self.blocks, None), 0
+            if self.block is None:
+                self.block, self.blocks = b"", iter(())
+                return False
+        return True
+
+    def _take(self, n: int) -> bytes:
+        out = []
+        while n and self._more():
+            out.append(self.block[self.at : self.at + n])
+            self.at += len(out[-1])
+            n -= len(out[-1])
+        return b"".join(out)
+
+    def _seek_frame(self) -> bool:
+        """Go on to the next four bytes that start a frame."""
+        magic, tail = struct.pack("<I", FRAME_MAGIC), b""
+        while self._more():
+            here = tail + self.block[self.at :]
+            found = here.find(magic)
+            if found >= 0:
+                self.block, self.at = here[found:], 0
+                return True
+            tail, self.at = here[-3:], len(self.block)
+        return False
+
+    def frame(self) -> Iterator[bytes]:
+        """Decoded pieces of the frame that starts here; after an error the next frame's start is sought."""
+        frame, first = self.context.decompressobj(), True
+        try:
+            while not frame.eof:
+                if not self._more():
+                    raise BadRecord("the last frame is cut off")
+                piece = self.block[self.at : self.at + PIECE]
+                out = frame.decompress(piece)
+                self.at += len(piece) - len(frame.unused_data)
+                first = False
+                yield out
+        except zstandard.ZstdError as e:
+            if first:
+                self._take(4)  # this frame's own start
+            self._seek_frame()
+            raise BadRecord(f"not a readable frame: {e}") from None
+
+    def records(self) -> Iterator[dict | BadRecord]:
+        """Each record's row, or what is wrong with it."""
+        while self._more():
+            pieces, parser, wrong = self.frame(), Parser(), None
             try:
-                out.append(frame.decompress(data))
-            except zstandard.ZstdError as e:
-                raise BadRecord(f"not a readable frame: {e}") from None
-            data = b""
-            n += len(out[-1])
-            if n > max_record_bytes:
-                raise BadRecord(f"a record has over {max_record_bytes} bytes")
-        data = frame.unused_data
-        yield b"".join(out)
+                for piece in pieces:
+                    try:
+                        if wrong is None:
+                            parser.feed(piece)
+                    except BadRecord as e:  # the rest of the frame is passed over
+                        wrong = e
+                yield wrong or parser.row()
+            except BadRecord as e:
+                yield wrong or e
 
 
 def train(samples: list[bytes], size: int = 64 << 10) -> bytes:
@@ -248,15 +329,12 @@ def read_archives(archives: DataFrame, path_col: str = "path") -> DataFrame:
         for (path,) in files.column(batches, path_col):
             out = []
             try:
-                for raw in frames(files.blocks(path)):
-                    try:
-                        out.append(parse(raw))
-                    except BadRecord as e:
-                        out.append(dict.fromkeys(RECORDS.names) | {"error": str(e)})
+                for r in Archive(files.blocks(path)).records():
+                    out.append(r if isinstance(r, dict) else dict.fromkeys(RECORDS.names) | {"error": f"{path}: {r}"})
                     if len(out) == 5000:
                         yield pa.RecordBatch.from_pylist(out, RECORDS)
                         out = []
-            except BadRecord as e:  # no later frame can be found
+            except BadRecord as e:  # the dictionary
                 out.append(dict.fromkeys(RECORDS.names) | {"error": f"{path}: {e}"})
             yield pa.RecordBatch.from_pylist(out, RECORDS)
 
