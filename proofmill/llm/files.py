@@ -1,4 +1,10 @@
-"""Files that tasks write to and read from the shared folder, by any scheme pyarrow knows."""
+"""Files that tasks write to and read from the shared folder.
+
+Paths are those that Spark is given: local and mounted folders, ``file``,
+``hdfs`` and ``viewfs`` (with libhdfs), ``s3`` with its Hadoop names ``s3a`` and
+``s3n``, ``gs``, ``abfs`` and ``abfss``, and ``dbfs`` by its mount. Any other
+scheme is refused by name.
+"""
 
 from __future__ import annotations
 
@@ -9,21 +15,36 @@ import pyarrow as pa
 from pyarrow import fs
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it."""
+    scheme, mark, rest = path.partition(":")
+    if not mark or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        path = "s3:" + rest
+    try:
+        return fs.FileSystem.from_uri(path)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"files in {scheme}: are not supported; let spark.checkpoint.dir name another store ({e})") from None
+
+
 def write(path: str, data: bytes) -> None:
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = store_of(path)
     with store.open_output_stream(at, compression=None) as out:  # the bytes as they are, whatever the name ends in
         out.write(data)
 
 
 def read(path: str, start: int = 0, length: int | None = None) -> bytes:
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = store_of(path)
     with store.open_input_file(at) as file:
         file.seek(start)
         return file.read() if length is None else file.read(length)
 
 
 def blocks(path: str, size: int = 1 << 20) -> Iterator[bytes]:
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = store_of(path)
     with store.open_input_stream(at, compression=None) as file:
         while block := file.read(size):
             yield block

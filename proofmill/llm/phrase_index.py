@@ -21,14 +21,15 @@ row is hit; other columns are neither read nor returned.
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from proofmill.llm import files, scratch
 WINDOW = 10
 #: Words that a shard holds about; its lists are what a task holds at once.
 SHARD_WORDS = 500_000
-#: Test words that are sent to every task at most, at 8 bytes; a larger test set is searched in blocks of items.
+#: Test words that a task holds at once, at 8 bytes; a larger test set is searched in blocks of items.
 MAX_TEST_WORDS = 2_000_000
 #: Upper case to lower, and everything that ends a word to a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -56,13 +57,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
-def windows(terms: list, size: int = WINDOW) -> list[tuple]:
-    """All runs of ``size`` words; a shorter text is one window, an empty one none."""
-    if not terms:
-        return []
-    return [tuple(terms[i : i + size]) for i in range(max(1, len(terms) - size + 1))]
-
-
 class ShardBuilder:
     """Postings of documents as they come."""
 
@@ -120,49 +114,95 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, id_col: s
     return scratch.stored(rows.mapInArrow(put, INDEX_DDL), "phrase-index")
 
 
-def frequencies(index: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """Occurrences of the test terms over the whole index; as many pairs as there are test terms."""
-    pairs = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("p")).groupBy("p.terms").agg(F.sum("p.counts").alias("n"))
-    if len(vocabulary) <= 10_000:
-        pairs = pairs.where(F.col("terms").isin([t.decode("utf-8", "surrogatepass") for t in sorted(vocabulary)]))
-    return {r.terms.encode("utf-8", "surrogatepass"): r.n for r in pairs.collect()}
+class Query:
+    """Windows of items as flat arrays: some 25 bytes a word of test text.
 
+    ``tokens`` holds all items' words as numbers of the sorted ``terms``; window
+    w is tokens[start[w] : start[w] + length[w]] and is of the items
+    owners[owner_at[w] : owner_at[w + 1]], which are places in ``items``.
+    """
 
-class Query:
-    """Windows of items, each with its terms from the rarest up as (term, offset)."""
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], size: int):
+        self.items = [i for i, _ in items]
+        self.terms = pa.array(sorted({t for _, words_ in items for t in words_}), pa.binary())
+        number = {t: n for n, t in enumerate(self.terms.to_pylist())}
+        lengths = np.array([len(w) for _, w in items], np.int64)
+        self.tokens = np.fromiter((number[t] for _, w in items for t in w), np.int32, int(lengths.sum()))
+        item = np.repeat(np.arange(len(items)), lengths)
+        place = np.arange(len(item)) - (np.cumsum(lengths) - lengths)[item]
+        starts = np.flatnonzero((place <= lengths[item] - size) | (place == 0))  # a short item is one window
+        own, length = item[starts], np.minimum(lengths[item[starts]], size).astype(np.int32)
+        runs = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.tokens, np.full(size, -1, np.int32)]), size)[starts]
+        runs[np.arange(size) >= length[:, None]] = -1
+        _, first, window = np.unique(runs.view(f"V{4 * size}").ravel(), return_index=True, return_inverse=True)
+        self.start, self.length = starts[first].astype(np.int32), length[first]
+        pairs = np.unique(window.ravel() * max(1, len(items)) + own)
+        self.owners = (pairs % max(1, len(items))).astype(np.int32)
+        self.owner_at = np.concatenate([[0], np.cumsum(np.bincount(pairs // max(1, len(items)), minlength=len(first)))]).astype(np.int64)
+        self.counts: np.ndarray | None = None
+
+    def numbers(self, terms: pa.Array) -> np.ndarray:
+        """The test's numbers of an index row's terms, -1 for others."""
+        return np.asarray(pc.index_in(terms, value_set=self.terms).fill_null(-1))
+
+
+class Shared:
+    """An object in the shared folder, read once by each Python worker that needs it."""
+
+    _last: tuple[str, object] | None = None
+
+    def __init__(self, spark, value):
+        self.path = scratch.path(spark, "phrase-query")
+        files.write(self.path, zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value)))
+
+    def get(self):
+        if Shared._last is None or Shared._last[0] != self.path:
+            Shared._last = None
+            with zstandard.ZstdDecompressor().stream_reader(files.read(self.path)) as stream:
+                Shared._last = (self.path, pickle.load(stream))
+        return Shared._last[1]
+
+
+def frequencies(index: DataFrame, query: Query) -> np.ndarray:
+    """Occurrences of the test terms over the whole index; other terms are dropped where the index is read."""
+    shared = Shared(index.sparkSession, query)
+
+    def count(batches):
+        asked = shared.get()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                terms = batch.column("terms")[i].values.cast(pa.binary())
+                numbers, counts = asked.numbers(terms), np.asarray(batch.column("counts")[i].values)
+                keep = numbers >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[keep].astype(np.int64)), pa.array(counts[keep])], names=["term", "n"])
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], counts: dict[bytes, int], size: int):
-        owners: dict[tuple, set[int]] = defaultdict(set)
-        for item, terms in items:
-            for window in windows(terms, size):
-                owners[window].add(item)
-        self.by_rarest: dict[bytes, list] = defaultdict(list)
-        for window, own in owners.items():
-            places = sorted(range(len(window)), key=lambda i: (counts.get(window[i], 0), window[i], i))
-            if all(t in counts for t in window):
-                self.by_rarest[window[places[0]]].append((len(window), [(window[i], i) for i in places], sorted(own)))
+    pairs = index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(query.terms), np.int64)
+    out[np.asarray(pairs.column("term"))] = np.asarray(pairs.column("n"))
+    return out
 
 
 class Shard:
-    """The lists of one row of the index."""
+    """The lists of one row of the index; ``numbers`` gives its terms those of a query, -1 for others."""
 
-    def __init__(self, row: dict):
-        self.doc_ids, self.n_words = row["doc_ids"], np.array(row["n_words"], np.int64)
+    def __init__(self, row: dict, numbers: np.ndarray | None = None):
+        self.doc_ids, self.n_words = row["doc_ids"], np.asarray(row["n_words"], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.n_words + 1)])
-        counts = np.array(row["counts"], np.int64)
+        counts = np.asarray(row["counts"], np.int64)
         ends = np.cumsum(counts)
-        self.where = {t.encode("utf-8", "surrogatepass"): (e - n, e) for t, n, e in zip(row["terms"], counts.tolist(), ends.tolist(), strict=True)}
-        self.steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["postings"], max_output_size=4 * int(counts.sum()) + 1), "<u4").astype(np.int64)
-        self.lists: dict[bytes, np.ndarray] = {}
+        names = [t.encode("utf-8", "surrogatepass") for t in row["terms"]] if numbers is None else numbers.tolist()
+        self.where = {t: (e - n, e) for t, n, e in zip(names, counts.tolist(), ends.tolist(), strict=True) if t != -1}
+        self.steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["postings"], max_output_size=4 * int(counts.sum()) + 1), "<u4")
+        self.lists: dict = {}
 
-    def list(self, term: bytes) -> np.ndarray:
+    def list(self, term) -> np.ndarray:
         if term not in self.lists:
             a, e = self.where[term]
-            self.lists[term] = np.cumsum(self.steps[a:e])
+            self.lists[term] = np.cumsum(self.steps[a:e], dtype=np.int64)
         return self.lists[term]
 
-    def exact(self, terms: list[tuple[bytes, int]]) -> np.ndarray:
-        """Starts of the window."""
+    def exact(self, terms: list[tuple]) -> np.ndarray:
+        """Starts of the window, whose terms come as (term, offset)."""
         starts = self.list(terms[0][0]) - terms[0][1]
         for term, offset in terms[1:]:
             if not len(starts):
@@ -173,7 +213,7 @@ class Shard:
             starts = starts[other[at] == starts + offset]
         return starts
 
-    def near(self, terms: list[tuple[bytes, int]], slop: int) -> np.ndarray:
+    def near(self, terms: list[tuple], slop: int) -> np.ndarray:
         """Occurrences of the rarest term that have all others near and in the same document."""
         here = self.list(terms[0][0])
         doc = np.searchsorted(self.starts, here, "right")
@@ -186,34 +226,51 @@ class Shard:
                 break
         return here
 
+    def candidates(self, query: Query) -> np.ndarray:
+        """Windows all of whose terms this shard has."""
+        held = np.zeros(len(query.terms) + 1, bool)
+        held[list(self.where)] = True
+        absent = np.concatenate([[0], np.cumsum(~held[query.tokens])])
+        return np.flatnonzero(absent[query.start + query.length] == absent[query.start])
 
-def search(index: DataFrame, items: list[tuple[int, list[bytes]]], size: int = WINDOW, slop: int | None = 20, placed: bool = False) -> DataFrame:
+
+def _by_name(items: Iterable) -> list:
+    """Item ids as strings sort, a null one as None."""
+    return sorted(set(items), key=str)
+
+
+def search(index: DataFrame, items: list[tuple[int | None, list[bytes]]], size: int = WINDOW, slop: int | None = 20, placed: bool = False) -> DataFrame:
     """A row for each document: n_words, n_hit, the items whose windows occur, those with a window only near (unless ``slop`` is None), and the hit spans.
 
     With ``placed`` also its shard and its place there, which tell rows apart whatever their ids.
     """
-    counts = frequencies(index, {t for _, terms in items for t in terms})
-    query = Query(items, counts, size)
+    query = Query(items, size)
+    query.counts = frequencies(index, query)
+    shared = Shared(index.sparkSession, query)
 
     def find(batches):
+        asked = shared.get()
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
+            for i in range(batch.num_rows):
+                row = {n: np.asarray(batch.column(n)[i].values) for n in ("n_words", "counts")}
+                row |= {"doc_ids": batch.column("doc_ids")[i].values, "postings": batch.column("postings")[i].as_py()}
+                shard = Shard(row, asked.numbers(batch.column("terms")[i].values.cast(pa.binary())))
                 hit, found, close = np.zeros(shard.starts[-1] + 1, np.int64), defaultdict(set), defaultdict(set)
-                for rarest, asked in query.by_rarest.items():
-                    if rarest not in shard.where:
-                        continue
-                    for n, terms, own in asked:
-                        if not all(t in shard.where for t, _ in terms):
-                            continue
-                        starts = shard.exact(terms)
+                for w in shard.candidates(asked).tolist():
+                    first, n = int(asked.start[w]), int(asked.length[w])
+                    tokens = asked.tokens[first : first + n]
+                    order = np.lexsort((np.arange(n), tokens, asked.counts[tokens]))  # from the rarest up
+                    terms = [(int(tokens[k]), int(k)) for k in order]
+                    starts = shard.exact(terms)
+                    own = asked.owners[asked.owner_at[w] : asked.owner_at[w + 1]].tolist()
+                    if len(starts):
                         np.add.at(hit, starts, 1)
                         np.add.at(hit, starts + n, -1)
                         for d in np.unique(np.searchsorted(shard.starts, starts, "right") - 1):
                             found[d].update(own)
-                        if slop is not None:
-                            for d in np.unique(np.searchsorted(shard.starts, shard.near(terms, slop), "right") - 1):
-                                close[d].update(own)
+                    if slop is not None:
+                        for d in np.unique(np.searchsorted(shard.starts, shard.near(terms, slop), "right") - 1):
+                            close[d].update(own)
                 inside = np.cumsum(hit) > 0
                 sums = np.concatenate([[0], np.cumsum(inside)])
                 n_hit = sums[shard.starts[1:]] - sums[shard.starts[:-1]]
@@ -222,16 +279,19 @@ def search(index: DataFrame, items: list[tuple[int, list[bytes]]], size: int = W
                 spans = defaultdict(list)
                 for d, a, e in zip(np.searchsorted(shard.starts, first, "right") - 1, first, end, strict=True):
                     spans[d].append((int(a - shard.starts[d]), int(e - shard.starts[d])))
-                for i in range(0, len(shard.doc_ids), 5000):
-                    some = range(i, min(i + 5000, len(shard.doc_ids)))
+                name = batch.column("shard")[i].as_py()
+                for at in range(0, len(shard.n_words), 5000):
+                    some = range(at, min(at + 5000, len(shard.n_words)))
+                    hits = [_by_name(asked.items[k] for k in found[d]) if d in found else [] for d in some]
+                    near = [sorted({asked.items[k] for k in close[d]} - set(h), key=lambda k: (k is None, k or 0)) if d in close else [] for d, h in zip(some, hits, strict=True)]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([shard.doc_ids[d] for d in some], pa.int64()),
+                        shard.doc_ids[some.start : some.stop],
                         pa.array(shard.n_words[some.start : some.stop]),
                         pa.array(n_hit[some.start : some.stop]),
-                        pa.array([sorted(found[d], key=str) if d in found else [] for d in some], pa.list_(pa.int64())),
-                        pa.array([sorted(close[d] - found.get(d, set()), key=lambda i: (i is None, i or 0)) if d in close else [] for d in some], pa.list_(pa.int64())),
+                        pa.array(hits, pa.list_(pa.int64())),
+                        pa.array(near, pa.list_(pa.int64())),
                         pa.array([[{"first": a, "end": e} for a, e in spans[d]] if d in spans else [] for d in some], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                        pa.array([row["shard"]] * len(some), pa.string()),
+                        pa.array([name] * len(some), pa.string()),
                         pa.array(some, pa.int64()),
                     ], names=[*FOUND, "shard", "place"])
 
@@ -301,10 +361,6 @@ def op9_phrase_index(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def digest_of(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 OP9_SQL = """
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

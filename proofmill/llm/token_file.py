@@ -190,9 +190,7 @@ class Reader:
 
 def read_document(path: str, dictionary: bytes, doc_id: int) -> np.ndarray | None:
     """One document's ids from the footer, the index and its frame alone; None where it is not in the file."""
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = files.store_of(path)
     size = store.get_file_info(at).size
     start, n = map(int, np.frombuffer(files.read(path, size - 24, 16), "<u8"))
     index = files.read(path, start, 29 * n)
