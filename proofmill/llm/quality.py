@@ -11,7 +11,8 @@ it is built-in functions.
 Figures (words are runs of ``[^\\x20\\x09-\\x0D]``): word_chars, n_symbols,
 n_dup_lines and n_repeat_words as the base has them. Repeated three-word windows
 are found per text by sorting keys of hash and position; windows whose hashes
-agree are compared word by word.
+agree are sorted again by their words, so that no collision hides a repeat or
+makes one.
 
 Rows that fail the base are out whatever the rules say, and EM leaves them out.
 
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 from proofmill.llm import scratch
 from proofmill.llm.words import words_of
 
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS, KINDS = "[#*$%&|<>]", "#*$%&|<>"
 WORD = "[^\\x20\\x09-\\x0D]"
 
 #: (name, figure, good up to, bad from): votes good at or below the first bound, bad at or above the second.
 RULES: tuple[tuple[str, Callable[[], Column], float, float], ...] = (
     ("symbols", lambda: F.try_divide("n_symbols", "word_chars"), 0.01, 0.05),
-    ("symbols_a_word", lambda: F.try_divide("n_symbols", "n_words"), 0.10, 0.30),
+    ("symbol_kinds", lambda: F.when(F.col("n_words") > 0, F.col("n_symbol_kinds")), 2, 5),
     ("dup_lines", lambda: F.try_divide("n_dup_lines", "n_lines"), 0.10, 0.30),
     ("repeats", lambda: F.try_divide("n_repeat_words", "n_words"), 0.15, 0.35),
     ("capitals", lambda: F.try_divide("n_upper", "word_chars"), 0.15, 0.40),
@@ -61,6 +62,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("_w").alias("n_words"),
         F.char_length(F.array_join("_w", "")).alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).alias("n_symbols"),
+        sum([F.contains("_text", F.lit(k)).cast("int") for k in KINDS], F.lit(0)).alias("n_symbol_kinds"),
         F.regexp_count("_text", F.lit("[A-Z]")).alias("n_upper"),
         (F.char_length("_text") - F.char_length(F.replace("_text", F.lit("!"), F.lit("")))).alias("n_shouts"),
         lines.alias("_lines"),
@@ -79,12 +81,6 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def place(k: Column) -> Column:
         return k.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1).cast("int")
 
-    def same(k: Column, other: Column) -> Column:
-        equal = head(k) == head(other)
-        for d in (0, 1, 2):
-            equal = equal & (F.get("_w", place(k) + d) == F.get("_w", place(other) + d))
-        return F.coalesce(equal, F.lit(False))
-
     # most texts have no window twice and end here
     keys = F.sort_array(F.transform("_hashes", lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long"))))
     none = F.array().cast("array<bigint>")
@@ -92,11 +88,17 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     headed = keyed.withColumn("_heads", F.transform("_keys", head))
     met = headed.withColumn("_met", F.zip_with("_heads", F.slice("_heads", 2, F.greatest(F.size("_heads"), F.lit(1))), lambda a, b: a == b))
     close = met.withColumn("_close", F.filter("_keys", lambda k, j: F.get("_met", j) | F.get("_met", j - 1))).drop("_heads", "_met", "_keys")
-    twice = F.filter("_close", lambda k, j: same(k, F.get("_close", j - 1)) | same(k, F.get("_close", j + 1)))
-    found = close.withColumn("_at", F.sort_array(F.transform(twice, place)))
+    spelled = F.transform(F.transform("_close", place), lambda p: F.struct(F.get("_w", p).alias("a"), F.get("_w", p + 1).alias("b"), F.get("_w", p + 2).alias("c"), p.alias("p")))
+    close = close.withColumn("_close", F.sort_array(spelled))
+
+    def same(x: Column, y: Column) -> Column:
+        return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+
+    twice = F.filter("_close", lambda x, j: same(x, F.get("_close", j - 1)) | same(x, F.get("_close", j + 1)))
+    found = close.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["p"])))
     steps = F.zip_with("_at", F.slice("_at", 2, F.greatest(F.size("_at") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
     covered = F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
-    return found.select(F.col("_id").alias(id_col), *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_upper", "n_shouts", "n_lines", "n_dup_lines")], covered.alias("n_repeat_words"))
+    return found.select(F.col("_id").alias(id_col), *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_symbol_kinds", "n_upper", "n_shouts", "n_lines", "n_dup_lines")], covered.alias("n_repeat_words"))
 
 
 def vote(figure: Column, good: float, bad: float) -> Column:
