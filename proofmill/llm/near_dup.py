@@ -202,10 +202,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int)
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every linked id, root being the least id of its component.
 
-    Alternating star steps, until nothing changes: an id's neighbours are moved
-    to its least neighbour until each component is a star. Each step's tables
-    are written, so lineage does not grow and a hot id's edges can be split;
-    nothing but two numbers a round comes to the driver.
+    Alternating star steps, until every component is a star: an id's neighbours
+    are moved to its least neighbour. Each step's tables are written, so lineage
+    does not grow and a hot id's edges can be split; nothing but a yes or no a
+    round comes to the driver.
     """
 
     def with_least(edges: DataFrame) -> DataFrame:
@@ -214,10 +214,16 @@ def components(links: DataFrame) -> DataFrame:
         used.append(least)
         return edges.hint("merge").join(least, "u")
 
+    def stars(edges: DataFrame) -> bool:
+        """Whether every u has one v, which is no u itself."""
+        ends = F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        roles = edges.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        return roles.where("up > 1 or up + down > 1").isEmpty()
+
     used: list[DataFrame] = []
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges, before = scratch.stored(edges, "near-edges"), None
-    while True:
+    edges = scratch.stored(edges, "near-edges")
+    while not stars(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
         large = scratch.stored(large, "near-large")
@@ -226,10 +232,7 @@ def components(links: DataFrame) -> DataFrame:
         new = scratch.stored(small, "near-edges")
         scratch.drop(edges, large, *used)
         edges, used = new, []
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        before = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
 def _blocks(members: DataFrame, width: int, size: str) -> DataFrame:
@@ -238,7 +241,8 @@ def _blocks(members: DataFrame, width: int, size: str) -> DataFrame:
     A block has about ``width`` members, and about BLOCK_BYTES of ``size`` at most.
     """
     n = members.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / F.lit(width)), F.ceil(F.sum(size) / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
-    rows = members.join(n, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    n = scratch.stored(n.where("blocks > 1"), "near-blocks")  # few: all other buckets are one block
+    rows = members.hint("merge").join(n, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
 
