@@ -90,17 +90,41 @@ def test_warc_dictionary_and_faults():
     dictionary = warc.train(samples, 2048)
     packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
     good = warc.record(7, "http://a", b"hello", None, False, "2024-01-01T00:00:00Z")
-    data = warc.dictionary_frame(dictionary) + packer.compress(good) * 2
+    frame = packer.compress(good)
+    data = warc.dictionary_frame(dictionary) + frame * 2
     assert struct.unpack("<I", data[:4])[0] == 0x184D2A5D
+
+    def read(data, size=1 << 20):
+        return list(warc.Archive(iter([data[i : i + size] for i in range(0, len(data), size)])).records())
+
+    def fine(records):
+        return [r["page_id"] for r in records if isinstance(r, dict)]
+
     for size in (1, 7, 1 << 20):
-        assert list(warc.frames(iter([data[i : i + size] for i in range(0, len(data), size)]))) == [good, good]
-    with pytest.raises(warc.BadRecord):
-        list(warc.frames(iter([data[:-3]])))
-    with pytest.raises(warc.BadRecord):
-        list(warc.frames(iter([data[8 + len(dictionary) :]])))  # without its dictionary
+        assert fine(read(data, size)) == [7, 7] and len(read(data, size)) == 2
+    for cut in (data[:-3], data[8 + len(dictionary) :]):  # cut off; without its dictionary
+        assert len(fine(read(cut))) < 2 and not all(isinstance(r, dict) for r in read(cut))
+    broken = bytearray(frame)
+    broken[6:-2] = bytes(len(broken) - 8)
+    found = read(warc.dictionary_frame(dictionary) + frame + bytes(broken) + frame)  # later records are still read
+    assert fine(found) == [7, 7] and not isinstance(found[1], dict)
     for bad in (good.replace(b"WARC/1.1", b"HTTP/1.1"), good.replace(b"hello", b"hallo"), good[:-1], good.replace(b"Content-Length: 5", b"Content-Length: 6"), good.replace(b"WARC-Date", b"Date")):
         with pytest.raises(warc.BadRecord):
-            warc.parse(bad)
+            warc.parse([bad])
+        found = read(warc.dictionary_frame(dictionary) + packer.compress(bad) + frame)
+        assert fine(found) == [7] and isinstance(found[0], warc.BadRecord)
+    assert warc.parse([good[i : i + 1] for i in range(len(good))]) == warc.parse([good])
+
+
+def test_warc_long_record():
+    """40 MB of payload are read in pieces, of which none is kept."""
+    good = warc.record(9, None, b"x" * (40 << 20), None, False, "2024-01-01T00:00:00Z")
+    frame = zstandard.ZstdCompressor(level=1).compress(good)
+    archive = warc.Archive(iter([frame]))
+    (row,) = archive.records()
+    assert row["payload_bytes"] == 40 << 20
+    with pytest.raises(warc.BadRecord):
+        warc.parse([b"WARC/1.1\r\n" + b"a" * (2 << 20)])
 
 
 # Mixing
@@ -162,6 +186,33 @@ def test_language(docs, odd, empty):
     assert language_id.fit(empty) == {} and empty.select(language_id.identify(empty, {})).count() == 0
 
 
+def test_language_sizes_against_plain_compression(spark, docs):
+    """Each decision from sums of plainly compressed blocks; ties and a single language."""
+    learned = language_id.fit(docs)
+    texts = [r.text for r in docs.limit(40).collect()] + ["\u00bd \u00b2 \u2163 12", "\u4e2d", "a" * 5000]
+    for text in texts:
+        got = language_id.Classifier(learned).predict(text)
+        if not any(c.isalpha() for c in text):
+            assert got == ("und", 0.0)
+            continue
+        data = b" ".join(re.findall(rb"[a-z\x80-\xff]+", text.lower().encode()))
+        sums = {}
+        for lang, raw in learned.items():
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sums[lang] = sum(len(zstandard.ZstdCompressor(level=6, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data[i : i + 1024])) for i in range(0, len(data), 1024))
+        best, second = sorted(sums.values())[:2]
+        assert sums[got[0]] == best and got[1] == 1 - best / second
+    same = {"b": b"one two three four", "a": b"one two three four"}
+    assert language_id.Classifier(same).predict("one two") == ("b", 0.0)  # the one with more rows stands first
+    assert language_id.Classifier({"a": b"one two three four"}).predict("one two") == ("a", 1.0)
+
+
+def test_many_languages(spark):
+    """No limit on their number."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}xyz " * 20, f"l{i}") for i in range(260)]
+    assert len(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == 260
+
+
 # Quality
 
 
@@ -388,11 +439,56 @@ def test_toxicity(spark, odd, empty):
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (1, None), (9999, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, marks)
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
-    assert all(got[i].toxic == (i % 4 == 0) for i in range(400))
-    assert got[4].expected_severity > got[12].expected_severity > got[1].expected_severity  # four hits, one hit, none
-    assert (np.diff(model.thresholds) > 0).all()
+    assert all(got[i].toxic == (i % 4 == 0) == (got[i].grade > 0) for i in range(400))
+    assert got[8].expected_severity > got[4].expected_severity > got[12].expected_severity > got[1].expected_severity  # seven hits, four, one, none
+    assert (np.diff(model.thresholds) > 0).all() and {got[i].grade for i in range(400)} == {0, 1, 2, 3}
+    again = toxicity.fit(docs.repartition(3), marks.repartition(2))
+    assert again.features == model.features and (again.weights == model.weights).all() and (again.thresholds == model.thresholds).all()
     assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(empty, model).count() == 0
     assert not any(r.toxic for r in toxicity.score(odd, toxicity.fit(odd, marks.where("false"))).collect())
+    assert not toxicity.fit(empty, marks).features
+
+
+def test_toxicity_scores_against_plain_sums(spark, docs):
+    """Scores of whole texts, and a very long one, from plain counts of words and starts."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    texts = [r.text for r in docs.limit(30).collect()] + ["", None, "idiot Idiots " * 20_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(rows, model).collect()}
+    for i, text in enumerate(texts):
+        found = Counter()
+        for w in re.findall(r"[a-z\x80-\U0010ffff]+", (text or "").lower()):
+            found.update([w.encode(), *[w[:k].encode() + b"*" for k in (4, 5, 6) if len(w) > k]])
+        x = sum(model.weights[f] * np.log1p(found[t]) for t, f in model.features.items() if found[t])
+        above = 1 / (1 + np.exp(model.thresholds - x))
+        assert got[i].expected_severity == pytest.approx(above.sum(), abs=1e-9) and got[i].grade == (above >= 0.5).sum()
+
+
+def test_ordinal_gradient():
+    rng = np.random.default_rng(4)
+    indptr = np.arange(0, 121, 3)
+    rows = toxicity.Rows(indptr, rng.integers(0, 7, 120), rng.random(120))
+    grades = rng.integers(0, 4, 40)
+    p = rng.normal(size=7 + 3)
+    _, gradient = toxicity.loss(p, rows, grades, 7, 0.01)
+    for j in range(len(p)):
+        step = np.zeros(len(p))
+        step[j] = 1e-6
+        slope = (toxicity.loss(p + step, rows, grades, 7, 0.01)[0] - toxicity.loss(p - step, rows, grades, 7, 0.01)[0]) / 2e-6
+        assert gradient[j] == pytest.approx(slope, abs=1e-6)
+
+
+@pytest.mark.parametrize("sf, held_out, least", [("sf0.01", False, 0.9), ("sf0.1", True, 0.9)])
+def test_toxic_documents_are_found(spark, sf, held_out, least):
+    """At sf0.01 there are four to six toxic labels of each language but one, so only all of them teach enough."""
+    at = f"/root/testdata/{sf}"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    judged = labels.where("pmod(crc32(cast(doc_id as string)), 5) = 0") if held_out else labels
+    model = toxicity.fit(docs, labels.join(judged, "doc_id", "left_anti") if held_out else labels)
+    rows = toxicity.score(docs, model).withColumnRenamed("toxic", "found").join(judged, "doc_id").collect()
+    assert sum(r.grade > 0 for r in rows if r.toxic) >= least * sum(r.toxic for r in rows)
+    assert sum(r.grade > 0 for r in rows if not r.toxic) <= 0.005 * len(rows)
 
 
 # Queries and SQL
