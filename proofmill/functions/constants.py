@@ -9,8 +9,27 @@ SCORED_FIELDS = EXACT_FIELDS + JUDGED_FIELDS
 UNSURE_FIELDS = ("relationship_goal", "wants_kids")
 UNSURE = "unsure"
 
+ALL_FIELDS = SCORED_FIELDS + UNSCORED_FIELDS
+EXACT_CLASSES = {
+    "relationship_goal": ("casual", "long_term", "marriage", "unsure"),
+    "wants_kids": ("yes", "no", "unsure"),
+    "has_kids": ("true", "false"),
+    "religion_importance": ("none", "low", "medium", "high"),
+}
+AGES = (25, 45)
+CITIES = ("Portland", "Austin", "Minneapolis", "Philadelphia", "Denver", "Pittsburgh", "Sacramento", "Nashville", "Providence", "Tucson", "Milwaukee", "Richmond")
+OCCUPATIONS = (
+    "nurse", "structural engineer", "high school teacher", "line cook", "accountant", "physical therapist", "graphic designer", "electrician",
+    "research librarian", "logistics coordinator", "veterinary technician", "software developer",
+)
+EDUCATION = ("high school", "trade certificate", "associate degree", "bachelor's degree", "master's degree")
+EXACT_DISCLOSURES = ("volunteer", "needs_followup")
+SPECIFIC_SHARE = 0.6
+JUDGED_FACTS = (12, 16)
+
 DISCLOSURES = ("volunteer", "needs_followup", "hedge", "contradict")
 STYLES = ("terse", "balanced", "rambling", "tangential")
+STYLE_WORDS = {"terse": (15, 40), "balanced": (40, 120), "rambling": (120, 250), "tangential": (120, 250)}
 VERDICTS = ("supported", "supported_offsheet", "unsupported", "abstained", "judge_error", "span_invalid")
 CREDITED = ("supported", "supported_offsheet")
 ERRORS = ("judge_error", "span_invalid")

@@ -20,7 +20,8 @@ def share(num: Column, den: Column) -> Column:
 
 
 def wilson(num: Column, den: Column) -> tuple[Column, Column]:
-    """The 95 % Wilson interval, within 0 and 1; null without observations."""
+    """The 95 % Wilson interval, within 0 and 1; null without observations, an error with more successes than those."""
+    num = F.when(num > den, F.raise_error(F.format_string("%s successes of %s", num, den)).cast("long")).otherwise(num)
     n, p = F.nullif(den.cast("double"), F.lit(0.0)), share(num, den)
     z2 = Z95 * Z95
     middle = (p + z2 / (2 * n)) / (1 + z2 / n)

@@ -12,9 +12,13 @@ from pyspark.sql.types import StringType
 from proofmill.functions import constants as C
 
 
+#: Every character that Unicode calls white space, and the four separators of ASCII.
+BLANKS = r"[\s\p{Z}\x1C-\x1F\x{85}]"
+
+
 def tokens(text: Column) -> Column:
-    """White-space separated words; none for a null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    """Words parted by white space; none for a null or blank text."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS + "+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -22,12 +26,17 @@ def word_count(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, BLANKS + "+", " "))
+
+
+def is_blank(text: Column) -> Column:
+    return ~text.rlike(r"[^\s\p{Z}\x1C-\x1F\x{85}]")
 
 
 def fold(text: Column) -> Column:
-    """Lower case, with sharp s as full case folding has it."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: upper case and back, but for the dotless i, and every final sigma as any other."""
+    upper = F.translate(F.upper(F.translate(text, "\u0131", "\ue000")), "\ue000", "\u0131")
+    return F.translate(F.lower(upper), "\u03c2", "\u03c3")
 
 
 def dedupe_key(kind: Column, value: Column) -> Column:
@@ -42,7 +51,7 @@ def values_match(kind_a: Column, a: Column, kind_b: Column, b: Column) -> Column
 
 def span_normalize(text: Column) -> Column:
     """Punctuation to spaces, white space collapsed, case folded."""
-    return fold(collapse(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " ")))
+    return fold(collapse(F.regexp_replace(text, r"[^\p{L}\p{N}_\s\p{Z}\x1C-\x1F\x{85}]", " ")))
 
 
 @F.pandas_udf(StringType())  # a type, not its name: that would need a running session
@@ -108,13 +117,33 @@ def match_case(source: Column, word: Column) -> Column:
     return F.when(shouted, F.upper(word)).when((first == F.upper(first)) & (first != F.lower(first)), capital).otherwise(word)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with ``places`` decimals, rounded from its exact binary value, ties to even.
+
+    The fraction is taken as a multiple of 2^-60, so all steps are exact; ``over``
+    tells whether anything is left below that.
+    """
+    size = F.abs(value)
+    whole, scaled = F.floor(size), (size - F.floor(size)) * float(1 << 60)
+    parts = scaled.cast("long")
+    over = (scaled != parts.cast("double")).cast("int")
+    product, one = parts.cast("decimal(38,0)") * F.lit(10**places).cast("decimal(6,0)"), F.lit(1 << 60).cast("decimal(20,0)")
+    digits, rest = F.call_function("div", product, one), 2 * (product % one)
+    up = (rest > one) | ((rest == one) & ((over > 0) | ((whole * 10**places + digits) % 2 == 1)))
+    all_digits = whole * 10**places + digits + up.cast("int")
+    sign = F.when((value < 0) | (F.format_string("%s", value) == "-0.0"), "-").otherwise("")
+    shown = F.format_string("%,d" if places == 0 else "%d", (all_digits / F.lit(10**places).cast("decimal(6,0)")).cast("long") if places == 0 else F.call_function("div", all_digits, F.lit(10**places)))
+    return F.concat(sign, shown, F.lit("") if places == 0 else F.concat(F.lit("."), F.lpad((all_digits % 10**places).cast("string"), places, "0")))
+
+
 def format_value(value: Column, kind: Column) -> Column:
+    value = value.cast("double")
     return (
         F.when(value.isNull(), "n/a")
-        .when(kind == "rate", F.concat(F.format_string("%.1f", F.bround(value * 100, 1)), F.lit("%")))
-        .when(kind == "count", F.format_string("%,.0f", F.bround(value, 0)))
-        .when(kind == "ratio", F.format_string("%.2f", F.bround(value, 2)))
-        .otherwise(F.format_string("%.4f", F.bround(value, 4)))
+        .when(kind == "rate", F.concat(fixed(value * 100, 1), F.lit("%")))
+        .when(kind == "count", fixed(value, 0))
+        .when(kind == "ratio", fixed(value, 2))
+        .otherwise(fixed(value, 4))
     )
 
 
@@ -126,6 +155,54 @@ def transcript_stem(persona: Column, script: Column, order_seed: Column, rate: C
     return F.concat_ws("__", persona, script, F.when(order_seed.isNotNull(), "shuf"), noise_token(rate))
 
 
+def status_in(message: Column) -> Column:
+    """A status from a message that names its reason; the first reason that occurs in it."""
+    out = F.lit("provider_error")
+    for reason in reversed([r for r in C.STATUS_BY_REASON if r != "provider_error"]):
+        out = F.when(F.contains(message, F.lit(reason)), C.STATUS_BY_REASON[reason]).otherwise(out)
+    return F.when(message.isNull(), "provider_error").otherwise(out)
+
+
+def json_kind(value: Column, path: str) -> Column:
+    """string, boolean, integer, array or other: the type of what stands at ``path`` of a parsed JSON value; missing without it."""
+    found = F.schema_of_variant(F.variant_get(value, path, "variant"))
+    kind = F.when(found == "STRING", "string").when(found == "BOOLEAN", "boolean").when(found == "BIGINT", "integer").when(found.startswith("ARRAY"), "array").otherwise("other")
+    return F.when(found.isNull() | (found == "VOID"), "missing").otherwise(kind)
+
+
+def extraction_id(transcript: Column, tag: Column) -> Column:
+    return F.concat(transcript, F.lit(":"), tag)
+
+
+def floor_tag(tag: Column, run: Column) -> Column:
+    return F.concat(tag, F.lit(".floor"), run.cast("string"))
+
+
+def run_id(at: Column, config: Column) -> Column:
+    """The UTC minute and six digits of the configuration's hash; runs of one configuration within a minute share it."""
+    return F.concat(F.date_format(at, "yyyyMMdd-HHmm"), F.lit("-"), F.substring(F.sha2(config.cast("binary"), 256), 1, 6))
+
+
+def with_role(role: Column, text: Column) -> Column:
+    """A prompt that names its role in front."""
+    return F.concat(F.lit("[lab-role:"), role, F.lit("]\n"), text)
+
+
+def role_in(text: Column) -> Column:
+    """The role that a prompt names in front; null where it names none."""
+    return F.nullif(F.regexp_extract(text, r"^\[lab-role:([^\]]+)\]", 1), F.lit(""))
+
+
+def flat_params(params: Column) -> Column:
+    """``k=v`` of a map, in order of keys, without the nonce, which tells runs apart but not what was asked."""
+    entries = F.array_sort(F.map_entries(hashable(params)))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+
+
+def hashable(params: Column) -> Column:
+    return F.map_filter(params, lambda k, _: k != "nonce")
+
+
 def status_of(reason: Column) -> Column:
     """A failure's status; an unknown reason is the provider's fault."""
     known = F.create_map(*[F.lit(x) for pair in C.STATUS_BY_REASON.items() for x in pair])

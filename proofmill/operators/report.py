@@ -24,7 +24,7 @@ def rows_of(pooled: DataFrame) -> list[dict]:
     """key, shown, n and interval of each metric (key, value, den, lo, hi), in order of key."""
     kind = kind_of(F.col("key"))
     n = F.when(kind == "count", "—").otherwise(F.coalesce(F.format_string("n = %,d", F.col("den")), F.lit("n/a")))
-    interval = F.when(F.col("lo").isNotNull(), F.format_string("95%% CI [%.1f, %.1f]", F.col("lo") * 100, F.col("hi") * 100)).otherwise("")
+    interval = F.when((kind == "rate") & F.col("lo").isNotNull(), F.format_string("95%% CI [%.1f, %.1f]", F.col("lo") * 100, F.col("hi") * 100)).otherwise("")
     shown = pooled.select("key", format_value(F.col("value"), kind).alias("shown"), n.alias("n"), interval.alias("interval"))
     return [r.asDict() for r in shown.orderBy("key").collect()]
 

@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def balanced(rows: DataFrame, id_col: str, n_classes: int, seed: str, by: list[str] | None = None) -> DataFrame:
+def balanced(rows: DataFrame, id_col: str, n_classes: int | Column, seed: str | Column, by: list[str] | None = None) -> DataFrame:
     """With ``class`` from 0 up; classes' sizes differ by one at most in each group of ``by``.
 
-    Without ``by`` the ranks are those of all rows, which one task counts: give
-    a group for tables that do not fit one.
+    A row's rank is that of its hash. Ranks are counted in 4,096 ranges of the
+    hash, whose starts come from prefix sums of their sizes, so that a large
+    group is spread over tasks.
     """
-    order = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))
-    window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order, id_col)
-    return rows.withColumn("class", ((F.row_number().over(window) - 1) % n_classes).cast("long"))
+    by, columns = by or [], rows.columns
+    order = F.md5(F.concat(F.lit(seed) if isinstance(seed, str) else seed, F.col(id_col).cast("string")))
+    keyed = rows.withColumns({"_hash": order, "_classes": F.lit(n_classes) if isinstance(n_classes, int) else n_classes}).withColumn("_range", F.substring("_hash", 1, 3))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = keyed.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*by, "_range").orderBy("_hash", id_col)
+    ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(starts, [*by, "_range"])
+    return ranked.withColumn("class", (F.col("_start") + F.col("_rank")) % F.col("_classes")).select(*columns, F.col("class").cast("long").alias("class"))
 
 
 def split_counts(totals: DataFrame, mix: tuple[tuple[str, float], ...], total: str = "total") -> DataFrame:
@@ -32,3 +38,9 @@ def audit_sample(rows: DataFrame, stratum: str, id_col: str, per_stratum: int, s
     order = F.sha2(F.concat(F.lit(seed), F.col(id_col).cast("string")).cast("binary"), 256)
     window = Window.partitionBy(stratum).orderBy(order, id_col)
     return rows.withColumn("place", F.row_number().over(window)).where(F.col("place") <= per_stratum)
+
+
+def shuffled(rows: DataFrame, id_col: str, order: str, seed: Column, by: list[str]) -> DataFrame:
+    """With ``place`` from 1 up: the order as written where ``seed`` is null, else that of a seeded hash."""
+    key = F.md5(F.concat(seed.cast("string"), F.lit(":order:"), F.col(id_col).cast("string")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(key.asc_nulls_first(), order)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions import constants as C
 from proofmill.functions.stats import floor_of, share, wilson
+from proofmill.operators.gate import kind_of
 from proofmill.operators.verdicts import populations
 
 
@@ -44,9 +45,12 @@ def tally(rows: DataFrame, by: list[str], rates: dict[str, tuple[Column, Column]
 
 
 def valued(tallies: DataFrame) -> DataFrame:
-    """With value and Wilson bounds; a zero denominator has none."""
-    low, high = wilson(F.col("num"), F.col("den"))
-    return tallies.withColumns({"value": share(F.col("num"), F.col("den")), "lo": F.round(low, 9), "hi": F.round(high, 9)})
+    """With value and, for rates, Wilson bounds; a zero denominator has none, and a count is its numerator."""
+    kind = kind_of(F.col("key"))
+    is_rate, is_count = F.coalesce(kind == "rate", F.lit(False)), F.coalesce(kind == "count", F.lit(False))
+    low, high = wilson(F.when(is_rate, F.col("num")), F.when(is_rate, F.col("den")))
+    value = F.when(is_count, F.col("num").cast("double")).otherwise(share(F.col("num"), F.col("den")))
+    return tallies.withColumns({"value": value, "lo": F.round(low, 9), "hi": F.round(high, 9)})
 
 
 def zero_filled(tallies: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
@@ -56,27 +60,37 @@ def zero_filled(tallies: DataFrame, column: str, values: tuple[str, ...]) -> Dat
 
 
 def pool(tallies: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counts of all extractions by key; the number that has the key, and the number with a denominator."""
-    return tallies.groupBy(*(by or []), "key").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.count("*").alias("n_tallies"), F.count_if(F.col("den") > 0).alias("n_defined"))
+    """Counts of all extractions by key; the number that has the key, and the number with a denominator.
+
+    Where the tallies have a ``kind``, a key of two kinds is an error.
+    """
+    num = F.sum("num")
+    if "kind" in tallies.columns:
+        mixed = F.count_distinct("kind") > 1
+        num = F.when(mixed, F.raise_error(F.concat(F.lit("tallies of different kinds: "), F.first("key"))).cast("long")).otherwise(num)
+    return tallies.groupBy(*(by or []), "key").agg(num.alias("num"), F.sum("den").alias("den"), F.count("*").alias("n_tallies"), F.count_if(F.col("den") > 0).alias("n_defined"))
 
 
-def variance_floor(runs: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Mean, deviation and floor of a metric over runs; nulls are no observations."""
+def variance_floor(runs: DataFrame, by: list[str], value: str = "value", requested: DataFrame | None = None) -> DataFrame:
+    """Mean, deviation and floor of a metric over runs; nulls are no observations.
+
+    A requested key without any observation has the least floor and no runs.
+    """
     found = runs.groupBy(*by).agg(F.avg(value).alias("baseline_mean"), F.stddev_samp(value).alias("sigma"), F.count(value).alias("runs"))
+    if requested is not None:
+        found = requested.select(*by).distinct().join(found, by, "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
     return found.withColumn("floor", floor_of(F.col("sigma")))
 
 
-def pairwise_jaccard(items: DataFrame, run: str = "run", item: str = "item") -> DataFrame:
-    """Sum of intersections over sum of unions of all pairs of runs, from counts alone.
+def pairwise_jaccard(items: DataFrame, runs: int, run: str = "run", item: str = "item") -> DataFrame:
+    """Sum of intersections over sum of unions of all pairs of ``runs`` runs, from counts alone.
 
     An item in k of r runs is in k (k - 1) / 2 intersections and in as many
     unions as there are pairs less those of runs without it, so no pair of runs
-    is ever joined. All runs must occur in ``items``.
+    is ever joined. A run without any item has no row in ``items`` and counts all the same.
     """
-    runs = items.agg(F.count_distinct(run).alias("r"))
     held = items.groupBy(item).agg(F.count_distinct(run).alias("k"))
-    held = held.groupBy("k").agg(F.count("*").alias("n"))
-    both = held.withColumn("one", F.lit(1)).join(F.broadcast(runs.withColumn("one", F.lit(1))), "one")  # one row
+    both = held.groupBy("k").agg(F.count("*").alias("n"), F.lit(runs).cast("long").alias("r"))
     return both.agg(
         F.sum(F.expr("n * (k * (k - 1) div 2)")).alias("num"),
         F.sum(F.expr("n * (r * (r - 1) div 2 - (r - k) * (r - k - 1) div 2)")).alias("den"),

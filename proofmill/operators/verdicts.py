@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.functions import constants as C
@@ -54,3 +54,17 @@ def populations(verdict: Column, method: Column) -> dict[str, Column]:
     scorable = ~verdict.isin(*C.ERRORS)
     scored = scorable & (verdict != "abstained")
     return {"scorable": scorable, "scored": scored, "judged": scored & (method == "judge"), "credited": verdict.isin(*C.CREDITED)}
+
+
+def exact_alignments(claims: DataFrame, facts: DataFrame, key: list[str]) -> DataFrame:
+    """``claims`` (key, field, kind, value) of exact fields with their verdict and fact.
+
+    ``facts`` has (key, fact_id, field, kind, value), one of each exact field. A
+    claim whose field has no fact keeps its row, with no verdict and a problem.
+    """
+    truth = facts.where(F.col("field").isin(*C.EXACT_FIELDS)).select(*key, "field", "fact_id", F.col("kind").alias("_kind"), F.col("value").alias("_value"))
+    rows = claims.where(F.col("field").isin(*C.EXACT_FIELDS)).join(truth, [*key, "field"], "left")
+    known = F.col("fact_id").isNotNull()
+    verdict = F.when(known, exact_verdict(F.col("field"), F.col("kind"), F.col("value"), F.col("_kind"), F.col("_value")))
+    rows = rows.withColumns({"verdict": verdict, "problem": F.when(~known, "no_truth")})
+    return rows.withColumn("matched_fact_id", F.when(F.col("verdict") == "supported", F.col("fact_id"))).drop("_kind", "_value", "fact_id")

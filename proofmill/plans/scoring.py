@@ -98,15 +98,13 @@ def verdict_populations(spark, sf_dir):
     return found.select("*", *[c.alias(k) for k, c in verdicts.populations(F.col("verdict"), F.col("method")).items()])
 
 
-@query("exact_verdicts", f"{A} SELECT persona_id, fact_id, field, verdict, CASE WHEN verdict = 'supported' THEN fact_id END AS matched_fact_id FROM alignments WHERE method = 'exact'")
+@query("exact_verdicts", f"{A}, truth AS (SELECT persona_id, fact_id, value FROM facts WHERE {u("'et:' || fact_id")} >= 0.02) SELECT a.persona_id, a.fact_id AS claim_id, a.field, CASE WHEN t.fact_id IS NOT NULL THEN verdict END AS verdict, CASE WHEN t.fact_id IS NOT NULL AND verdict = 'supported' THEN a.fact_id END AS matched_fact_id, CASE WHEN t.fact_id IS NULL THEN 'no_truth' END AS problem FROM alignments a LEFT JOIN truth t ON t.persona_id = a.persona_id AND t.fact_id = a.fact_id WHERE method = 'exact'")
 def exact_verdicts(spark, sf_dir):
-    """Claims joined with the truth by id; the verdict from typed values."""
-    truth = ev.facts(spark, sf_dir).where(F.col("field").isin(*C.EXACT_FIELDS))
-    claims = truth.where("claimed").select("persona_id", "fact_id", "claim")
-    rows = claims.join(truth.select("persona_id", "fact_id", "field", "value"), ["persona_id", "fact_id"])
-    verdict = verdicts.exact_verdict(F.col("field"), F.lit("str"), F.col("claim"), F.lit("str"), F.col("value"))
-    rows = rows.withColumn("verdict", verdict)
-    return rows.select("persona_id", "fact_id", "field", "verdict", F.when(F.col("verdict") == "supported", F.col("fact_id")).alias("matched_fact_id"))
+    """Claims joined with the truth by id; the verdict from typed values. Some facts are left out, and their claims are told."""
+    f = ev.facts(spark, sf_dir).where(F.col("field").isin(*C.EXACT_FIELDS)).withColumn("kind", F.lit("str"))
+    truth = f.where(draw("et:", F.col("fact_id")) >= 0.02).select("persona_id", F.col("fact_id").alias("sheet"), "fact_id", "field", "kind", "value")
+    claims = f.where("claimed").select("persona_id", F.col("fact_id").alias("sheet"), F.col("fact_id").alias("claim_id"), "field", "kind", F.col("claim").alias("value"))
+    return verdicts.exact_alignments(claims, truth, ["persona_id", "sheet"]).select("persona_id", "claim_id", "field", "verdict", "matched_fact_id", "problem")
 
 
 _REF = u("'ref:' || fact_id")
@@ -173,10 +171,10 @@ def yield_per_minute(spark, sf_dir):
     return rows.select("question_id", "yield", "words", share(F.col("yield") * float(C.WORDS_PER_MINUTE), F.col("words")).alias("value"))
 
 
-@query("followup_share", f"{K} " + valued_sql("SELECT style, 'followup_share_by_style' AS key, count(*) FILTER (via_followup) AS num, count(*) AS den FROM coverage WHERE captured AND elicited GROUP BY style", "style"))
+@query("followup_share", f"{K} " + valued_sql("SELECT style, 'followup_share' AS key, count(*) FILTER (via_followup) AS num, count(*) AS den FROM coverage WHERE captured AND elicited GROUP BY style", "style"))
 def followup_share(spark, sf_dir):
     rows = ev.coverage(spark, sf_dir).where("captured and elicited")
-    return tallies.valued(tallies.tally(rows, ["style"], {"followup_share_by_style": (F.col("via_followup"), F.lit(True))}))
+    return tallies.valued(tallies.tally(rows, ["style"], {"followup_share": (F.col("via_followup"), F.lit(True))}))
 
 
 FLOOR_SQL = f"SELECT field, 'exact_floor.' || field AS key, max(n)::BIGINT AS num, sum(n)::BIGINT AS den FROM (SELECT field, value, count(*) AS n FROM facts WHERE field IN ({EXACT_SQL}) GROUP BY 1, 2) GROUP BY field"
@@ -207,7 +205,7 @@ def pooled_metrics(spark, sf_dir):
     return tallies.valued(tallies.pool(tallies.tally(ev.alignments(spark, sf_dir), ["persona_id"], tallies.precision_rates())))
 
 
-@query("wilson_interval", "SELECT l_orderkey, l_linenumber, num, den, lo, hi FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, key, num, den, lo, hi FROM (" + valued_sql("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, 'x' AS key, least(l_linenumber, l_quantity)::BIGINT AS num, l_quantity::BIGINT AS den FROM lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice") + "))")
+@query("wilson_interval", "SELECT l_orderkey, l_linenumber, num, den, lo, hi FROM (" + valued_sql("SELECT l_orderkey, l_linenumber, 'x' AS key, least(l_linenumber, l_quantity)::BIGINT AS num, l_quantity::BIGINT AS den FROM lineitem", "l_orderkey, l_linenumber") + ")")
 def wilson_interval(spark, sf_dir):
     t = ev.table(spark, sf_dir, "lineitem")
     rows = t.select("l_orderkey", "l_linenumber", F.least(F.col("l_linenumber").cast("double"), F.col("l_quantity")).cast("long").alias("num"), F.col("l_quantity").cast("long").alias("den"))
@@ -231,7 +229,7 @@ def runs(spark, sf_dir):
     return f.withColumn("hit", draw("r:", F.col("run"), ":", F.col("fact_id")) < 0.9)
 
 
-@query("variance_floor", f"WITH {FACTS_SQL}, runs AS ({RUN_SQL}), v AS (SELECT persona_id, field, run, count(*) FILTER (hit)::DOUBLE / count(*)::DOUBLE AS value FROM runs WHERE persona_id % 10 < 5 GROUP BY ALL) SELECT persona_id, field, round(avg(value), 9) AS baseline_mean, round(stddev_samp(value), 9) AS sigma, count(value) AS runs, round(greatest(2 * coalesce(stddev_samp(value), 0), 0.005), 9) AS floor FROM (SELECT * FROM v UNION ALL SELECT persona_id, field, run, count(*) FILTER (hit)::DOUBLE / count(*)::DOUBLE FROM runs WHERE persona_id % 10 >= 5 GROUP BY ALL) GROUP BY ALL")
+@query("variance_floor", f"WITH {FACTS_SQL}, runs AS ({RUN_SQL}), v AS (SELECT persona_id, field, run, count(*) FILTER (hit)::DOUBLE / count(*)::DOUBLE AS value FROM runs GROUP BY ALL) SELECT persona_id, field, round(avg(value), 9) AS baseline_mean, round(stddev_samp(value), 9) AS sigma, count(value) AS runs, round(greatest(2 * coalesce(stddev_samp(value), 0), 0.005), 9) AS floor FROM v GROUP BY ALL")
 def variance_floor(spark, sf_dir):
     rates = runs(spark, sf_dir).groupBy("persona_id", "field", "run").agg(share(F.count_if("hit"), F.count("*")).alias("value"))
     found = tallies.variance_floor(rates, ["persona_id", "field"])
@@ -240,7 +238,7 @@ def variance_floor(spark, sf_dir):
 
 @query("stability_jaccard", f"WITH {FACTS_SQL}, runs AS ({RUN_SQL}), h AS (SELECT * FROM runs WHERE hit), pairs AS (SELECT a.run AS i, b.run AS j, sum((a.hit AND b.hit)::INT) AS both_, sum((a.hit OR b.hit)::INT) AS either FROM runs a JOIN runs b ON a.fact_id = b.fact_id AND a.run < b.run GROUP BY ALL) SELECT sum(both_)::BIGINT AS num, sum(either)::BIGINT AS den, sum(both_)::DOUBLE / sum(either)::DOUBLE AS value FROM pairs WHERE either > 0")
 def stability_jaccard(spark, sf_dir):
-    return tallies.pairwise_jaccard(runs(spark, sf_dir).where("hit").select("run", F.col("fact_id").alias("item")))
+    return tallies.pairwise_jaccard(runs(spark, sf_dir).where("hit").select("run", F.col("fact_id").alias("item")), runs=5)
 
 
 @query("diff_gate", f"""{K}, b AS ({rates_sql(RECALL, 'coverage', "'b'")}), n AS (SELECT * FROM coverage WHERE {u("'w:' || fact_id")} < 0.5), c AS (

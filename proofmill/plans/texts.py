@@ -11,13 +11,13 @@ from proofmill.functions.stats import draw
 from proofmill.operators import claims, gate, noise, samplers, verdicts
 from proofmill.operators.calls import looked_up, resolved
 from proofmill.sources import evaluation as ev
-from proofmill.sources.evaluation import FACTS_SQL, TURNS_SQL, u
+from proofmill.sources.evaluation import BLANKS_SQL, FACTS_SQL, TURNS_SQL, tokens_sql, u
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 W = f"WITH {TURNS_SQL}"
-WORDS_SQL = "words AS (SELECT transcript_id, turn_ord, unnest(w) AS word, unnest(range(len(w))) AS wi FROM (SELECT transcript_id, turn_ord, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM turns WHERE speaker = 'user'))"
-NORMAL = "replace(lower(trim(regexp_replace(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))), 'ß', 'ss')"
+WORDS_SQL = f"words AS (SELECT transcript_id, turn_ord, unnest(w) AS word, unnest(range(len(w))) AS wi FROM (SELECT transcript_id, turn_ord, {tokens_sql()} AS w FROM turns WHERE speaker = 'user'))"
+NORMAL = "replace(lower(trim(regexp_replace(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}_]', ' ', 'g'), ' +', ' ', 'g'))), 'ß', 'ss')"
 STEM = "CASE WHEN len(lower({0})) > 4 AND ends_with(lower({0}), 'es') THEN left(lower({0}), len({0}) - 2) WHEN len(lower({0})) > 3 AND ends_with(lower({0}), 's') AND NOT ends_with(lower({0}), 'ss') THEN left(lower({0}), len({0}) - 1) ELSE lower({0}) END"
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in C.STOPWORDS) + "]"
 
@@ -94,11 +94,11 @@ def span_normalize_unicode(spark, sf_dir):
 SPANS_SQL = f"""spans AS (
   SELECT transcript_id, turn_ord, CASE WHEN x < 0.05 THEN NULL WHEN x < 0.1 THEN turn_ord + 1000 WHEN x < 0.2 THEN turn_ord + 1 ELSE turn_ord END AS cited,
     CASE WHEN x >= 0.2 AND x < 0.3 THEN ' .. ' WHEN x >= 0.3 AND x < 0.4 THEN text WHEN x >= 0.4 AND x < 0.5 THEN 'Never ' || array_to_string(w[1:4], ' ') ELSE array_to_string(w[1:6], ' ') END AS span
-  FROM (SELECT *, {u("'p:' || transcript_id || ':' || turn_ord")} AS x, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda v: v <> '') AS w FROM turns))"""
+  FROM (SELECT *, {u("'p:' || transcript_id || ':' || turn_ord")} AS x, {tokens_sql()} AS w FROM turns))"""
 
 
 @query("span_check", f"""{W}, {SPANS_SQL} SELECT s.transcript_id, s.turn_ord, CASE WHEN s.cited IS NULL OR s.span IS NULL THEN 'none_cited' WHEN {NORMAL.format('s.span')} = '' THEN 'empty'
-  WHEN len(list_filter(regexp_split_to_array(s.span, '\\s+'), lambda v: v <> '')) > 12 THEN 'too_long' WHEN t.turn_ord IS NULL THEN 'no_such_turn' WHEN t.speaker <> 'user' THEN 'not_user'
+  WHEN len({tokens_sql('s.span')}) > 12 THEN 'too_long' WHEN t.turn_ord IS NULL THEN 'no_such_turn' WHEN t.speaker <> 'user' THEN 'not_user'
   WHEN NOT contains({NORMAL.format('t.text')}, {NORMAL.format('s.span')}) THEN 'not_verbatim' ELSE 'ok' END AS reason
 FROM spans s LEFT JOIN turns t ON t.transcript_id = s.transcript_id AND t.turn_ord = s.cited""")
 def span_check(spark, sf_dir):
@@ -121,13 +121,13 @@ def anchor_tokens(spark, sf_dir):
     return ev.turns(spark, sf_dir).select("transcript_id", "turn_ord", F.array_join(F.sort_array(T.anchor_tokens(F.col("text"))), " ").alias("anchors"))
 
 
-@query("disclosure_mismatch", f"""{W}, vals AS (SELECT transcript_id, turn_ord AS fact_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:3], ' ') AS v FROM turns WHERE speaker = 'interviewer'),
+@query("disclosure_mismatch", f"""{W}, vals AS (SELECT transcript_id, turn_ord AS fact_id, text AS v FROM turns WHERE speaker = 'interviewer'),
 said AS (SELECT transcript_id, list_distinct(flatten(list(list_transform(regexp_extract_all(text, '[0-9A-Za-z]+'), lambda t: {STEM.format('t')})))) AS toks FROM turns WHERE speaker = 'user' GROUP BY 1)
 SELECT v.transcript_id, v.fact_id, CASE WHEN len({anchors_sql('v')}) = 0 THEN 'unverifiable' WHEN toks IS NOT NULL AND list_has_any(toks, {anchors_sql('v')}) THEN 'spoken' ELSE 'mismatched' END AS state FROM vals v LEFT JOIN said USING (transcript_id)""")
 def disclosure_mismatch(spark, sf_dir):
     """Whether any anchor of a value was spoken by the user."""
     t = ev.turns(spark, sf_dir)
-    values = t.where("speaker = 'interviewer'").select("transcript_id", F.col("turn_ord").alias("fact_id"), T.anchor_tokens(F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ")).alias("anchors"))
+    values = t.where("speaker = 'interviewer'").select("transcript_id", F.col("turn_ord").alias("fact_id"), T.anchor_tokens(F.col("text")).alias("anchors"))
     said = t.where("speaker = 'user'").select("transcript_id", F.explode(T.token_set(F.col("text"))).alias("token")).distinct()
     spoken = values.select("transcript_id", "fact_id", F.explode("anchors").alias("token")).join(said, ["transcript_id", "token"]).select("transcript_id", "fact_id", F.lit(True).alias("spoken")).distinct()
     rows = values.join(spoken, ["transcript_id", "fact_id"], "left")
@@ -161,11 +161,11 @@ def followup_policy(spark, sf_dir):
 
 
 PROFILE_SQL = f"""profiles AS (SELECT doc_id AS extraction_id, n_chars AS age, CASE WHEN doc_id % 3 = 0 THEN ' Yes ' WHEN doc_id % 3 = 1 THEN '  ' END AS wants_kids, doc_id % 2 = 0 AS has_kids,
-  source AS location, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:12] AS interests FROM documents),
+  source AS location, {tokens_sql()} AS interests FROM documents),
 flat AS (SELECT extraction_id, 'age' AS field, 'int' AS kind, age::VARCHAR AS value, 0 AS place, 0 AS item FROM profiles UNION ALL SELECT extraction_id, 'wants_kids', 'str', wants_kids, 2, 0 FROM profiles
   UNION ALL SELECT extraction_id, 'has_kids', 'bool', has_kids::VARCHAR, 3, 0 FROM profiles UNION ALL SELECT extraction_id, 'location', 'str', location, 5, 0 FROM profiles
   UNION ALL SELECT extraction_id, 'interests', 'str', unnest(interests), 8, unnest(range(len(interests))) FROM profiles),
-named AS (SELECT *, CASE WHEN kind = 'str' THEN replace(lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))), 'ß', 'ss') ELSE value END AS same FROM flat WHERE value IS NOT NULL AND (kind <> 'str' OR trim(value) <> '')),
+named AS (SELECT *, CASE WHEN kind = 'str' THEN replace(lower(trim(regexp_replace(value, '{BLANKS_SQL}+', ' ', 'g'))), 'ß', 'ss') ELSE value END AS same FROM flat WHERE value IS NOT NULL AND (kind <> 'str' OR trim(regexp_replace(value, '{BLANKS_SQL}+', ' ', 'g')) <> '')),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY extraction_id, field, kind, same ORDER BY item) AS nth FROM named),
 claims AS (SELECT extraction_id, field, kind, value, (row_number() OVER (PARTITION BY extraction_id ORDER BY place, item))::INT AS claim_ord FROM firsts WHERE nth = 1)"""
 
@@ -185,7 +185,7 @@ def claims_unpivot(spark, sf_dir):
     return claims.unpivot(profiles(spark, sf_dir)).select("extraction_id", "field", "kind", "value")
 
 
-@query("claim_ids", f"WITH {PROFILE_SQL} SELECT extraction_id, claim_ord, 'c' || lpad(claim_ord::VARCHAR, 2, '0') AS claim_id, field FROM claims")
+@query("claim_ids", f"WITH {PROFILE_SQL} SELECT extraction_id, claim_ord, printf('c%02d', claim_ord) AS claim_id, field FROM claims")
 def claim_ids(spark, sf_dir):
     return claims.unpivot(profiles(spark, sf_dir)).select("extraction_id", "claim_ord", "claim_id", "field")
 
@@ -258,11 +258,18 @@ def split_counts(spark, sf_dir):
     return samplers.split_counts(ev.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("total")), C.DISCLOSURE_MIX)
 
 
-@query("status_map", "SELECT event_type AS reason, CASE event_type WHEN 'error' THEN 'provider_error' ELSE 'provider_error' END AS status, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT * FROM (VALUES ('refusal', 'refusal', 1::BIGINT), ('max_tokens', 'truncated', 1), ('schema_invalid', 'schema_invalid', 1))")
+REASONS = ("error", "refusal", "max_tokens", "model_context_window_exceeded", "schema_invalid")
+REASON_SQL = "['error', 'refusal', 'max_tokens', 'model_context_window_exceeded', 'schema_invalid'][event_id % 5 + 1]"
+
+
+@query("status_map", f"""WITH r AS (SELECT {REASON_SQL} AS reason, 'call ' || event_id || ' ended: ' || {REASON_SQL} AS message FROM events)
+SELECT reason, CASE reason WHEN 'refusal' THEN 'refusal' WHEN 'max_tokens' THEN 'truncated' WHEN 'model_context_window_exceeded' THEN 'truncated' WHEN 'schema_invalid' THEN 'schema_invalid' ELSE 'provider_error' END AS status,
+  CASE WHEN contains(message, 'refusal') THEN 'refusal' WHEN contains(message, 'max_tokens') OR contains(message, 'model_context_window_exceeded') THEN 'truncated' WHEN contains(message, 'schema_invalid') THEN 'schema_invalid' ELSE 'provider_error' END AS by_message, count(*) AS n FROM r GROUP BY ALL""")
 def status_map(spark, sf_dir):
-    e = ev.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n"))
-    known = spark.createDataFrame([("refusal", 1), ("max_tokens", 1), ("schema_invalid", 1)], "reason string, n long")
-    return e.unionByName(known).select("reason", T.status_of(F.col("reason")).alias("status"), "n")
+    """Statuses of reasons, and of messages that hold a reason."""
+    reason = F.element_at(F.array(*map(F.lit, REASONS)), (F.col("event_id") % 5 + 1).cast("int"))
+    e = ev.table(spark, sf_dir, "events").select(reason.alias("reason"), F.concat(F.lit("call "), F.col("event_id").cast("string"), F.lit(" ended: "), reason).alias("message"))
+    return e.groupBy("reason", T.status_of(F.col("reason")).alias("status"), T.status_in(F.col("message")).alias("by_message")).agg(F.count("*").alias("n"))
 
 
 @query("response_lookup", f"""WITH req AS (SELECT event_id, event_type AS role, 'role:' || event_type || ':' || substr(sha256(event_id::VARCHAR), 1, 12) AS k FROM events), canned AS (SELECT k, 'exact' AS response FROM req WHERE {u("'cr:' || event_id")} < 0.4 UNION ALL SELECT 'role:click', 'by role')
@@ -299,14 +306,15 @@ def expected_keys(spark, sf_dir):
     return gate.expected_keys(spark, question_ids=("q01", "q02"))
 
 
-@query("schema_gate", f"""SELECT event_id, CASE WHEN x < 0.1 THEN 'string' WHEN x < 0.15 THEN 'boolean' ELSE 'integer' END AS kind, x >= 0.15 AS valid FROM (SELECT event_id, {u("'sg:' || event_id")} AS x FROM events)""")
+@query("schema_gate", f"""WITH p AS (SELECT event_id, CASE WHEN x < 0.1 THEN '{{"k": "7"}}' WHEN x < 0.15 THEN '{{"k": true}}' WHEN x < 0.2 THEN '{{"j": 1}}' ELSE props END AS props FROM (SELECT event_id, props, {u("'sg:' || event_id")} AS x FROM events))
+SELECT event_id, CASE coalesce(json_type(props, '$.k'), 'none') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'none' THEN 'missing' ELSE 'other' END AS kind,
+  coalesce(json_type(props, '$.k') IN ('UBIGINT', 'BIGINT'), true) AS valid FROM p""")
 def schema_gate(spark, sf_dir):
-    """The type of a JSON value is told from the parsed value, so a wrong one is seen and not nulled."""
+    """The type of a JSON value is told from the parsed value, so a wrong one is seen and not nulled; a missing one is allowed."""
     e, x = ev.table(spark, sf_dir, "events"), draw("sg:", F.col("event_id"))
-    props = F.when(x < 0.1, F.lit('{"k": "7"}')).when(x < 0.15, F.lit('{"k": true}')).otherwise(F.col("props"))
-    found = F.schema_of_variant(F.variant_get(F.parse_json(props), "$.k", "variant"))
-    kind = F.when(found == "STRING", "string").when(found == "BOOLEAN", "boolean").when(found == "BIGINT", "integer").otherwise("other")
-    return e.select("event_id", kind.alias("kind"), (kind == "integer").alias("valid"))
+    props = F.when(x < 0.1, F.lit('{"k": "7"}')).when(x < 0.15, F.lit('{"k": true}')).when(x < 0.2, F.lit('{"j": 1}')).otherwise(F.col("props"))
+    kind = T.json_kind(F.parse_json(props), "$.k")
+    return e.select("event_id", kind.alias("kind"), kind.isin("integer", "missing").alias("valid"))
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS digest, substr(sha256(text), 1, 6) AS short FROM documents")

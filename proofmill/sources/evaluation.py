@@ -67,7 +67,14 @@ def u(key: str) -> str:
     return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-_TOKENS = "list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')"
+#: White space in the other engine's expressions, whose own class lacks what Unicode has beyond ASCII.
+BLANKS_SQL = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
+
+
+def tokens_sql(text: str = "text") -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({text}, ''), '{BLANKS_SQL}+'), lambda w: w <> '')"
+
+
 EXACT_SQL = ", ".join(f"'{f}'" for f in C.EXACT_FIELDS)
 FIRM_SQL = ", ".join(f"'{f}'" for f in C.DEALBREAKER_FIELDS)
 FACTS_SQL = f"""facts AS (
@@ -90,5 +97,5 @@ ALIGNMENTS_SQL = f"""alignments AS (
 COVERAGE_SQL = "coverage AS (SELECT *, claimed AND claim = value AS captured FROM facts)"
 TURNS_SQL = f"""turns AS (
   SELECT conv_id AS transcript_id, turn AS turn_ord, role, CASE WHEN role = 'user' THEN 'user' ELSE 'interviewer' END AS speaker,
-    'q' || lpad((turn // 4 + 1)::VARCHAR, 2, '0') AS question_id, turn % 4 >= 2 AS is_followup, text, len({_TOKENS})::BIGINT AS word_count
+    'q' || lpad((turn // 4 + 1)::VARCHAR, 2, '0') AS question_id, turn % 4 >= 2 AS is_followup, text, len({tokens_sql()})::BIGINT AS word_count
   FROM conversations)"""
