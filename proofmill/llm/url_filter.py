@@ -8,7 +8,8 @@ of equally long ones a block wins, then the smaller rule string.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and
 gets the default action; repeated rows each get their verdict; an empty table
-gives an empty result; other columns are neither read nor returned.
+gives an empty result; a kept column whose name a result has is returned as
+``page_`` and its name; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -80,6 +81,10 @@ def _rest(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
 
 
+def _kept(keep: tuple[str, ...]) -> list[Column]:
+    return [F.col(c).alias(f"page_{c}") if c.lower() in ("host", "path", "rule", "verdict") else F.col(c) for c in keep]
+
+
 def token_counts(pages: DataFrame, rules: list[Rule], url: str) -> dict[str, int]:
     """In how many rows each token of the rules occurs; as many pairs as the rules have tokens."""
     wanted = sorted({t for r in rules for t in r.tokens()})
@@ -131,7 +136,8 @@ def judge(pages: DataFrame, rules: Iterable[Rule], url: str = "url", keep: tuple
         rows = [(h, p, r.text if r else None, r.action if r else default) for h, p, r in ((h, p, best(h + p)) for h, p in zip(hosts, paths, strict=True))]
         return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
 
-    return pages.select(*keep, verdicts(host_of(F.col(url)), path_of(F.col(url))).alias("_v")).select(*keep, "_v.*")
+    judged = pages.select(F.struct(*_kept(keep)).alias("_k"), verdicts(host_of(F.col(url)), path_of(F.col(url))).alias("_v"))
+    return judged.select("_k.*", "_v.*") if keep else judged.select("_v.*")
 
 
 def _judge_by_join(pages: DataFrame, index: dict[str | None, list[Rule]], url: str, keep: tuple[str, ...], default: str) -> DataFrame:
@@ -139,15 +145,17 @@ def _judge_by_join(pages: DataFrame, index: dict[str | None, list[Rule]], url: s
     spark = pages.sparkSession
     rows = [(t, r.text, r.action, r.regex(r"\z"), *r.rank) for t, rs in index.items() for r in rs]
     filed = spark.createDataFrame(rows, "token string, rule string, action string, regex string, length int, blocks int")
-    parted = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    parted = pages.select(*_kept(keep), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     targets = parted.select(F.concat("host", "path").alias("target")).distinct()
     found = F.array_distinct(F.regexp_extract_all(F.translate("target", UPPER, LOWER), F.lit(f"({TOKEN})")))
-    tokens = targets.select("target", F.explode(F.concat(found, F.array(F.lit(None).cast("string")))).alias("token"))
+    if None in index:  # rules without a token are tried on every URL
+        found = F.concat(found, F.array(F.lit(None).cast("string")))
+    tokens = targets.select("target", F.explode(found).alias("token"))
     fit = tokens.join(filed, tokens.token.eqNullSafe(filed.token)).where(F.expr("target rlike regex"))
     order = F.struct("length", "blocks", F.transform(F.split("rule", ""), lambda c: -F.ascii(c)))
     won = fit.groupBy("target").agg(F.max_by(F.struct("rule", "action"), order).alias("won"))
     out = parted.withColumn("target", F.concat("host", "path")).join(won, "target", "left")
-    return out.select(*keep, "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict"))
+    return out.select(*[c for c in parted.columns if c not in ("host", "path")], "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the query: (host, path, action).
