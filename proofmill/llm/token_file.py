@@ -188,8 +188,8 @@ class Reader:
         return ids.astype("<u4")
 
 
-def read_document(path: str, dictionary: bytes, doc_id: int) -> np.ndarray | None:
-    """One document's ids from the footer, the index and its frame alone; None where it is not in the file."""
+def read_document(path: str, dictionary: bytes, doc_id: int | None) -> np.ndarray | None:
+    """One document's ids from the footer, the index and its frame alone; None where it is not in the file. A null id finds the first document without one."""
     store, at = files.store_of(path)
     size = store.get_file_info(at).size
     start, n = map(int, np.frombuffer(files.read(path, size - 24, 16), "<u8"))
@@ -198,7 +198,7 @@ def read_document(path: str, dictionary: bytes, doc_id: int) -> np.ndarray | Non
     head = json.loads(files.read(path, 12, n_head))
     if head["dictionary_sha256"] != hashlib.sha256(dictionary).hexdigest():
         raise ValueError("the file was written with another dictionary")
-    found = np.flatnonzero((np.frombuffer(index[n : 9 * n], "<i8") == doc_id) & (np.frombuffer(index[:n], "u1") == 1))
+    found = np.flatnonzero((np.frombuffer(index[n : 9 * n], "<i8") == (doc_id or 0)) & (np.frombuffer(index[:n], "u1") == (doc_id is not None)))
     if not len(found):
         return None
     i = found[0]
