@@ -20,5 +20,6 @@ ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op6_byte_shards": sharding.OP6_SQL,
     "op9_phrase_index": phrase_index.OP9_SQL,
 }

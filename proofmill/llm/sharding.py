@@ -64,3 +64,24 @@ def byte_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col
 
 def op6_byte_shards(spark, sf_dir: str) -> DataFrame:
     return byte_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40)
+
+
+#: CRC-32 of the text's bytes from its table, which is made from the polynomial; the rest are prefix sums.
+OP6_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), sized AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, h ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST, h) AS n
+  FROM sized
+), dealt AS (
+  SELECT *, least(39, ((2 * upto - size) * 40) // greatest(1, 2 * total))::INT AS shard FROM placed
+)
+SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(size - 16), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])))::BIGINT AS text_crc32,
+  'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM dealt, crc
+"""
