@@ -58,6 +58,10 @@ def test_url_rules(spark):
         got = {r.page_id: r for r in url_filter.judge(pages, rules, max_broadcast_rules=most).collect()}
         assert [got[i].rule for i in range(len(urls))] == want
         assert got[2].verdict == "block" and got[3].verdict == "allow" and got[8].host == "" and got[0].host == "www.example.com"
+        assert url_filter.judge(pages.where("false"), rules, max_broadcast_rules=most).count() == 0
+        twice = url_filter.judge(pages.unionAll(pages).withColumns({"host": F.lit("h"), "verdict": F.lit("v")}), rules, keep=("page_id", "host", "verdict"), max_broadcast_rules=most)
+        assert twice.columns == ["page_id", "page_host", "page_verdict", "host", "path", "rule", "verdict"]
+        assert Counter((r.page_id, r.rule) for r in twice.collect()) == Counter([*enumerate(want)] * 2)
 
 
 def test_url_tokens():
@@ -257,6 +261,38 @@ def test_quality_em(spark):
     assert [got[i] for i in range(len(patterns))] == pytest.approx(em(patterns, 3).tolist(), abs=1e-9)
 
 
+def test_quality_kept_against_plain_version(docs):
+    """Votes, EM and the decision of whole documents from plain figures."""
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    votes = {}
+    for i, t in texts.items():
+        w, lines = words(t), [x for x in t.split("\n") if words(x)]
+        n, chars, symbols, dups, repeats = base_of(t)
+        if n < 50 or 100 * repeats > 50 * n:
+            continue
+        figures = {
+            "symbols": symbols / chars, "symbol_kinds": sum(k in t for k in "#*$%&|<>"), "dup_lines": dups / len(lines), "repeats": repeats / n,
+            "capitals": len(re.findall("[A-Z]", t)) / chars, "shouts": t.count("!") / len(w), "word_length": abs(chars / n - 5.5),
+        }
+        votes[i] = tuple(1 if figures[name] <= good else -1 if figures[name] >= bad else 0 for name, _, good, bad in quality.RULES)
+    patterns = sorted(Counter(votes.values()).items())
+    believed = dict(zip([p for p, _ in patterns], em(patterns, len(quality.RULES)), strict=True))
+    for r in quality.judge(docs).collect():
+        assert r.kept == (r.doc_id in votes and believed[votes[r.doc_id]] >= 0.5)
+        assert r.doc_id not in votes or r.posterior == pytest.approx(believed[votes[r.doc_id]], abs=1e-9)
+
+
+def test_repeats_past_collisions(spark, monkeypatch):
+    """With hashes of eight values nearly all windows collide; the counts stay."""
+    plain = quality.F.xxhash64
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: quality.F.pmod(plain(*c), quality.F.lit(8)))
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, k, 120)) for k in (4, 9, 30, 200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in quality.figures(rows).collect()}
+    assert got == {i: base_of(t)[4] for i, t in enumerate(texts)}
+
+
 # Near-duplicates
 
 
@@ -417,6 +453,8 @@ def test_token_files(spark, odd, empty, vocabulary):
     if one.ids[-1] is not None:
         assert token_file.read_document(path, dictionary, one.ids[-1]).tolist() == one.tokens(len(one.ids) - 1).tolist()
     assert token_file.read_document(path, dictionary, 10**12) is None
+    first = manifest.where("n_docs > 0").orderBy("part", "seq").first().path
+    assert token_file.read_document(first, dictionary, None).tolist() == got[0].ids  # the null id comes first
     with pytest.raises(ValueError):
         token_file.Reader(files.read(path), b"another")
     with pytest.raises(ValueError):
@@ -499,7 +537,7 @@ def test_same_rows(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, sql = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLES[name])
     places = [sql.columns.index(c) for c in df.columns]
