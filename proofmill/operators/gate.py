@@ -33,16 +33,35 @@ def diff(baseline: DataFrame, candidate: DataFrame, floors: DataFrame, gated_key
     return rows.select("key", "baseline", "candidate", (F.col("candidate") - F.col("baseline")).alias("delta"), "floor", is_gated.alias("gated"), verdict.alias("verdict"))
 
 
-def exit_code(rows: DataFrame, gated_keys: tuple[str, ...] = C.GATED_KEYS, gated: bool = True) -> int:
-    """2 where the comparison is not valid, 1 on a regression, else 0. ``rows`` is a diff."""
+def invalid_reason(rows: DataFrame, gated_keys: tuple[str, ...] = C.GATED_KEYS, gated: bool = True) -> str | None:
+    """Why a diff cannot be judged, the first of: an empty side, unknown keys, a gated key without a value on a side or without a floor."""
     found = rows.agg(
-        F.count("baseline").alias("b"), F.count("candidate").alias("c"), F.count_if(kind_of(F.col("key")).isNull()).alias("unknown"),
-        F.count_if(F.col("gated") & F.col("baseline").isNotNull() & F.col("candidate").isNotNull() & F.col("floor").isNotNull()).alias("ready"),
-        F.count_if(F.col("verdict") == "regression").alias("worse"),
+        F.count("baseline").alias("b"), F.count("candidate").alias("c"), F.array_sort(F.collect_set(F.when(kind_of(F.col("key")).isNull(), F.col("key")))).alias("unknown"),
+        *[F.max(F.when(F.col("key") == k, F.col(side).isNotNull().cast("int"))).alias(f"{side}_{i}") for i, k in enumerate(gated_keys) for side in ("baseline", "candidate", "floor")],
     ).first()
-    if not found.b or not found.c or found.unknown or gated and found.ready < len(gated_keys):
+    if not found.b:
+        return "baseline has no metrics"
+    if not found.c:
+        return "candidate has no metrics"
+    if found.unknown:
+        return f"unknown metric keys: {found.unknown}"
+    for i, key in enumerate(gated_keys if gated else ()):
+        for side, what in (("baseline", "is undefined in the baseline"), ("candidate", "is undefined in the candidate"), ("floor", "has no measured floor")):
+            if not found[f"{side}_{i}"]:
+                return f"gated metric {key} {what}"
+    return None
+
+
+def exit_code(rows: DataFrame, gated_keys: tuple[str, ...] = C.GATED_KEYS, gated: bool = True) -> int:
+    """2 where the comparison is not valid, 1 on a regression, else 0. ``rows`` is a diff."""
+    if invalid_reason(rows, gated_keys, gated):
         return 2
-    return int(found.worse > 0)
+    return int(not rows.where("verdict = 'regression'").isEmpty())
+
+
+def derived_verdict(baseline: Column, candidate: Column, floor: Column, gated: Column) -> Column:
+    """The verdict of a diff's row that came without one."""
+    return F.when(baseline.isNull() | candidate.isNull(), "unknown").when(~gated, "ungated").when(candidate < baseline - floor, "regression").otherwise("pass")
 
 
 def expected_keys(spark, fields=C.SCORED_FIELDS, exact_fields=C.EXACT_FIELDS, disclosures=C.DISCLOSURES[:3], styles=C.STYLES, question_ids=()) -> DataFrame:
