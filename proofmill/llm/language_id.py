@@ -69,18 +69,22 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 100, slice_chars: int = 1000, dictionary_bytes: int = 16 << 10) -> dict[str, bytes]:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 100, slice_chars: int = 1000, dictionary_bytes: int = 16 << 10, max_broadcast_languages: int = 50_000) -> dict[str, bytes]:
     """Dictionaries by language, from the rows whose hash falls in the share that makes about ``sample_rows``."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     counts = {r.lang: r.n for r in sizes.collect()}
     if not counts:
         return {}
-    draw = F.xxhash64("text", F.lit(1))
-    shares = sizes.select("lang", (F.least(F.lit(1.0), sample_rows / F.col("n")) * (1 << 30)).alias("upto"))
-    chosen = known.join(shares, "lang").where(F.pmod(draw, F.lit(1 << 30)) < F.col("upto"))
-    start = 1 + F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.lit(1), F.char_length("text") - slice_chars))
-    slices = chosen.select("lang", draw.alias("k"), F.substr("text", start.cast("int"), F.lit(slice_chars)).alias("part")).distinct().collect()
+    draw, start = F.xxhash64("text", F.lit(1)), 1 + F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.lit(1), F.char_length("text") - slice_chars))
+    part = F.substr("text", start.cast("int"), F.lit(slice_chars)).alias("part")
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, sample_rows / n) * (1 << 30)) for lang, n in counts.items()], "lang string, upto double")
+    drawn = F.pmod(F.col("k"), F.lit(1 << 30)) < F.col("upto")
+    if len(counts) <= max_broadcast_languages:  # no row is moved
+        chosen = known.withColumn("k", draw).join(F.broadcast(shares), "lang").where(drawn).select("lang", "k", part)
+    else:  # the same rows by a join of slices, whose large languages Spark splits
+        chosen = known.select("lang", draw.alias("k"), part).hint("merge").join(shares, "lang").where(drawn).select("lang", "k", "part")
+    slices = chosen.distinct().collect()
     learned: dict[str, bytearray] = {lang: bytearray() for lang in sorted(counts, key=lambda x: (-counts[x], x))}
     for r in sorted(slices, key=lambda r: (r.k, r.part)):
         if len(learned[r.lang]) < dictionary_bytes:

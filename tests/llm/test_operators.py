@@ -214,7 +214,9 @@ def test_language_sizes_against_plain_compression(spark, docs):
 def test_many_languages(spark):
     """No limit on their number."""
     rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}xyz " * 20, f"l{i}") for i in range(260)]
-    assert len(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == 260
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_id.fit(df)
+    assert len(learned) == 260 and language_id.fit(df, max_broadcast_languages=0) == learned
 
 
 # Quality
