@@ -153,6 +153,7 @@ class Shared:
 
     def __init__(self, spark, value):
         self.path = scratch.path(spark, "phrase-query")
+        scratch.make_dirs(spark, scratch.folder(spark))
         files.write(self.path, zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value)))
 
     def get(self):
