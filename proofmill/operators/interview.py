@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions import constants as C
 from proofmill.functions.text import is_blank, status_in, word_count
+from proofmill.operators.joins import matched
 
 
 def sanitized(reported: Column, known: Column) -> tuple[Column, Column]:
@@ -40,7 +41,7 @@ def simulate(personas: DataFrame, script: list[dict], answers: DataFrame, decisi
     rows = personas.select("persona_id", "known", F.explode(steps).alias("s")).select("persona_id", "known", "s.*")
     said = answers.select(*key, "utterance", "reported", F.col("error").alias("answer_error"))
     asked = decisions.select(*key, "addressed", "followup", F.col("error").alias("decision_error"))
-    rows = rows.join(said, key, "left").join(asked, key, "left")
+    rows = matched(matched(rows, said, key, "left"), asked, key, "left")
     question = Window.partitionBy("persona_id", "question_id").orderBy("k")
     _, wanted = follow_up(F.lag("utterance").over(question), F.col("targets"), F.col("addressed"), F.col("followup"), trigger)
     rows = rows.withColumn("asks", F.when(F.col("k") == 0, F.col("question")).when(F.col("decision_error").isNull(), wanted))
@@ -62,7 +63,7 @@ def simulate(personas: DataFrame, script: list[dict], answers: DataFrame, decisi
     none = F.array().cast("array<string>")
     pair = F.array(F.struct(F.lit("interviewer").alias("speaker"), F.col("asks").alias("text"), none.alias("disclosed")), F.struct(F.lit("user").alias("speaker"), F.trim("utterance").alias("text"), F.col("told").alias("disclosed")))
     whole = Window.partitionBy("persona_id").orderBy("place", "k", "side")
-    turns = rows.where("reached").join(results.where("status = 'ok'").select("persona_id"), "persona_id")
+    turns = matched(rows.where("reached"), results.where("status = 'ok'").select("persona_id"), "persona_id")
     turns = turns.select("persona_id", "place", "k", "question_id", F.posexplode(pair).alias("side", "t")).withColumn("turn_ord", F.row_number().over(whole))
     turns = turns.select(
         "persona_id", "turn_ord", F.format_string("t%03d", "turn_ord").alias("turn_id"), "t.speaker", "question_id", (F.col("k") > 0).alias("is_followup"),

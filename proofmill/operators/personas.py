@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions import constants as C
 from proofmill.functions.stats import draw
+from proofmill.operators.joins import matched
 from proofmill.operators.samplers import balanced, split_counts
 
 #: What each persona draws a class of, with the classes.
@@ -43,7 +44,7 @@ def skeletons(ids: DataFrame, seed: int = 7, id_col: str = "i") -> DataFrame:
         "n_judged": (least + F.floor(draw(f"{seed}:n:", F.col("i")) * (most - least + 1))).cast("long"),
     })
     parts = split_counts(wide.select("i", "n_judged"), C.DISCLOSURE_MIX, "n_judged").groupBy("i").agg(*[F.max(F.when(F.col("name") == d, F.col("part"))).alias(f"n_{d}") for d, _ in C.DISCLOSURE_MIX])
-    return wide.join(parts, "i").withColumn("n_specific", F.bround(C.SPECIFIC_SHARE * F.col("n_judged")).cast("long"))
+    return matched(wide, parts, "i").withColumn("n_specific", F.bround(C.SPECIFIC_SHARE * F.col("n_judged")).cast("long"))
 
 
 def exact_facts(sheets: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def exact_facts(sheets: DataFrame) -> DataFrame:
 def truth_sheets(sheets: DataFrame, payloads: DataFrame) -> DataFrame:
     """Exact facts as they are, and the payloads' facts (persona_id, place, field, kind, value, ...) under the ids that follow."""
     order = Window.partitionBy("persona_id").orderBy("place")
-    judged = payloads.join(sheets.select("persona_id"), "persona_id").withColumn("fact_id", F.format_string("f%02d", len(C.EXACT_FIELDS) + F.row_number().over(order)))
+    judged = matched(payloads, sheets.select("persona_id"), "persona_id").withColumn("fact_id", F.format_string("f%02d", len(C.EXACT_FIELDS) + F.row_number().over(order)))
     made = exact_facts(sheets)
     return made.unionByName(judged.select(*made.columns))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofmill.operators.joins import matched
+
 
 def balanced(rows: DataFrame, id_col: str, n_classes: int | Column, seed: str | Column, by: list[str] | None = None) -> DataFrame:
     """With ``class`` from 0 up; classes' sizes differ by one at most in each group of ``by``.
@@ -19,7 +21,7 @@ def balanced(rows: DataFrame, id_col: str, n_classes: int | Column, seed: str |
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = keyed.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy(*by, "_range").orderBy("_hash", id_col)
-    ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(starts, [*by, "_range"])
+    ranked = matched(keyed.withColumn("_rank", F.row_number().over(within) - 1), starts, [*by, "_range"])
     return ranked.withColumn("class", (F.col("_start") + F.col("_rank")) % F.col("_classes")).select(*columns, F.col("class").cast("long").alias("class"))
 
 
