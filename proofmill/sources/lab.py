@@ -182,7 +182,7 @@ class Lab:
 
     @cached_property
     def covered(self) -> DataFrame:
-        facts = self.facts.join(self.extractions.select("persona_id"), "persona_id")
+        facts = matched(self.facts, self.extractions.select("persona_id"), "persona_id")
         return stored(coverage.rechecked(coverage.coverage(facts, self.alignments, self.turns, KEY), self.alignments, KEY), "lab-covered")
 
     @cached_property

@@ -39,6 +39,7 @@ def written():
 
 NAMES = [
     "cited_turn_lines",
+    "coverage_rules",
 ]
 
 
