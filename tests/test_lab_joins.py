@@ -40,6 +40,7 @@ def written():
 NAMES = [
     "cited_turn_lines",
     "coverage_rules",
+    "pooled_health",
 ]
 
 
