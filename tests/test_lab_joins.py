@@ -41,6 +41,7 @@ NAMES = [
     "cited_turn_lines",
     "coverage_rules",
     "pooled_health",
+    "score_rules",
 ]
 
 
