@@ -42,6 +42,7 @@ NAMES = [
     "coverage_rules",
     "pooled_health",
     "score_rules",
+    "tally_rules",
 ]
 
 
