@@ -43,6 +43,7 @@ NAMES = [
     "pooled_health",
     "score_rules",
     "tally_rules",
+    "transcript_rules",
 ]
 
 
