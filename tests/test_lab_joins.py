@@ -44,6 +44,7 @@ NAMES = [
     "score_rules",
     "tally_rules",
     "transcript_rules",
+    "turn_rules",
 ]
 
 
