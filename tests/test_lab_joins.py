@@ -45,6 +45,7 @@ NAMES = [
     "tally_rules",
     "transcript_rules",
     "turn_rules",
+    "unknown_facts",
 ]
 
 
