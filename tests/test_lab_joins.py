@@ -46,6 +46,7 @@ NAMES = [
     "transcript_rules",
     "turn_rules",
     "unknown_facts",
+    "interview_results",
 ]
 
 
