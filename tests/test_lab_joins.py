@@ -47,6 +47,7 @@ NAMES = [
     "turn_rules",
     "unknown_facts",
     "interview_results",
+    "judge_payloads",
 ]
 
 
