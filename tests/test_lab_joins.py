@@ -48,6 +48,7 @@ NAMES = [
     "unknown_facts",
     "interview_results",
     "judge_payloads",
+    "lab_aggregate",
 ]
 
 
