@@ -49,6 +49,7 @@ NAMES = [
     "interview_results",
     "judge_payloads",
     "lab_aggregate",
+    "lab_claims",
 ]
 
 
