@@ -50,6 +50,7 @@ NAMES = [
     "judge_payloads",
     "lab_aggregate",
     "lab_claims",
+    "lab_coverage",
 ]
 
 
