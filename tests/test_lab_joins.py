@@ -51,6 +51,7 @@ NAMES = [
     "lab_aggregate",
     "lab_claims",
     "lab_coverage",
+    "lab_tallies",
 ]
 
 
