@@ -52,6 +52,7 @@ NAMES = [
     "lab_claims",
     "lab_coverage",
     "lab_tallies",
+    "disclosure_audit",
 ]
 
 
