@@ -53,6 +53,7 @@ NAMES = [
     "lab_coverage",
     "lab_tallies",
     "disclosure_audit",
+    "alignment_rules",
 ]
 
 
