@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from proofmill.functions import constants as C
 from proofmill.functions.stats import draw
 from proofmill.operators import integrity, transcripts
+from proofmill.operators.joins import matched
 from proofmill.plans.lab import TALLIES_SQL
 from proofmill.sources import lab as L
 from proofmill.sources.evaluation import tokens_sql, u
@@ -107,7 +108,7 @@ def extraction_rules(spark, sf_dir):
     lab = L.lab(spark, sf_dir)
     n = lab.claims.groupBy("persona_id").agg(F.count("*").alias("n"))
     fine = F.col("status") == "ok"
-    rows = lab.played[1].join(n, "persona_id", "left").withColumns({"has_profile": fine != (_u("L6a", *P) < 0.02), "n_claims": F.when(~fine & (_u("L6b", *P) < 0.5), 1).otherwise(F.coalesce("n", F.lit(0)))})
+    rows = matched(lab.played[1], n, "persona_id", "left").withColumns({"has_profile": fine != (_u("L6a", *P) < 0.02), "n_claims": F.when(~fine & (_u("L6b", *P) < 0.5), 1).otherwise(F.coalesce("n", F.lit(0)))})
     twice = lab.claims.select("persona_id", F.when(_u("L6c", "persona_id", "claim_id") < 0.005, "c01").otherwise(F.col("claim_id")).alias("claim_id"))
     return integrity.violations(rows, integrity.extraction_rules()).unionByName(integrity._count("repeated_claim_id", integrity.repeated(twice, ["persona_id", "claim_id"])))
 

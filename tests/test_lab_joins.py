@@ -54,6 +54,7 @@ NAMES = [
     "lab_tallies",
     "disclosure_audit",
     "alignment_rules",
+    "extraction_rules",
 ]
 
 
