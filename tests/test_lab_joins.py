@@ -55,6 +55,7 @@ NAMES = [
     "disclosure_audit",
     "alignment_rules",
     "extraction_rules",
+    "interview_turns",
 ]
 
 
