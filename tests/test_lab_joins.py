@@ -56,6 +56,7 @@ NAMES = [
     "alignment_rules",
     "extraction_rules",
     "interview_turns",
+    "judge_passes",
 ]
 
 
