@@ -57,6 +57,7 @@ NAMES = [
     "extraction_rules",
     "interview_turns",
     "judge_passes",
+    "lab_alignments",
 ]
 
 
