@@ -58,6 +58,7 @@ NAMES = [
     "interview_turns",
     "judge_passes",
     "lab_alignments",
+    "lab_lifts",
 ]
 
 
