@@ -59,6 +59,7 @@ NAMES = [
     "judge_passes",
     "lab_alignments",
     "lab_lifts",
+    "per_persona",
 ]
 
 
