@@ -60,6 +60,7 @@ NAMES = [
     "lab_alignments",
     "lab_lifts",
     "per_persona",
+    "metric_suffixes",
 ]
 
 
