@@ -61,6 +61,7 @@ NAMES = [
     "lab_lifts",
     "per_persona",
     "metric_suffixes",
+    "score_files",
 ]
 
 
